@@ -2,8 +2,8 @@
 
 QUALITY_RULES = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS body FROM documents),
-w AS (SELECT doc_id, source, body, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
-             list_filter(string_split(body, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+w AS (SELECT doc_id, source, body, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 win AS (SELECT doc_id, i, list_slice(words, i, i + 4) AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c >= 2),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM (SELECT doc_id, i, unnest([0, 1, 2, 3, 4]) AS k FROM rep) GROUP BY doc_id),
