@@ -1,0 +1,83 @@
+"""Contamination against brute force."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+
+from tidemark.llm import decontaminate
+
+
+def words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def plain(docs, items):
+    wins = {}
+    for item, t in items:
+        w = words(t)
+        for j in range(max(1, len(w) - 12) if w else 0):
+            wins.setdefault(tuple(w[j : j + 13]), set()).add(str(item))
+    out = []
+    for doc, t in docs:
+        w, hit, found = words(t), set(), set()
+        for g, who in wins.items():
+            for i in range(len(w) - len(g) + 1):
+                if tuple(w[i : i + len(g)]) == g:
+                    hit |= set(range(i, i + len(g)))
+                    found |= who
+        out.append((doc, len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(out, key=str)
+
+
+def check(spark, docs, items, block_bytes):
+    d = spark.createDataFrame([(*r, 0) for r in docs], "doc_id long, text string, matches int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(d, b, block_bytes=block_bytes).select("doc_id", "n_words", "n_hit", "items", "contaminated")
+    want = plain(docs, items)
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    kept = decontaminate.remove_contaminated(d, b, block_bytes=block_bytes)
+    assert kept.columns == d.columns and kept.count() == sum(not x[-1] for x in want)
+
+
+@pytest.mark.parametrize("block_bytes", [200, 1 << 20])
+def test_matches_brute_force(spark, block_bytes):
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice("the of and Été to x9 run ocean".split()) for _ in range(n))
+    items = [(i, say(rng.choice([0, 1, 2, 3, 12, 13, 14, 40]))) for i in range(25)] + [(3, say(20)), (50, None), (51, "!!"), (52, "the")]
+    docs = [(i, say(rng.randrange(0, 60)) + " " + rng.choice(items)[1] + "-" + say(30) if i % 2 else say(200)) for i in range(40) if True]
+    docs = [(i, t) for i, t in docs if "None" not in str(t)]
+    docs += [(None, items[6][1]), (900, None), (901, ""), (902, "..."), (7, docs[1][1]), (7, docs[1][1]), (903, (items[5][1] + " zz ") * 500)]
+    check(spark, docs, [x for x in items if x[0] != 52], block_bytes)
+    check(spark, docs[:12], items, block_bytes)
+
+
+def test_longest_match_and_place(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    doc = "a b " + " ".join(f"W{i}" for i in range(5, 35)) + " tail " + " ".join(f"w{i}" for i in range(12))
+    d = spark.createDataFrame([(1, doc)], "doc_id long, text string")
+    b = spark.createDataFrame([(9, item)], "item_id long, text string")
+    r = decontaminate.contamination(d, b).first()
+    assert r.longest_match == 30 and [tuple(m) for m in r.matches] == [("9", 5, 2, 30)]
+
+
+def test_suffix_array_is_in_order():
+    block = decontaminate.block_of([("1", "b a b a b a"), ("2", "a a b")], 3)
+    ids = np.array([block.vocabulary[w] for w in b"a b a a b a b".split()], np.uint32)
+    at, keys = decontaminate.suffix_array(ids, block)
+    assert list(keys) == sorted(keys) and len(at) > 0
+
+
+def test_shards(spark, sf, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(map(str, decontaminate.contamination(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 500)
+    assert sorted(map(str, decontaminate.contamination(docs, bench).collect())) == whole
+
+
+def test_empty(spark):
+    d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    b = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contamination(d, b).first().n_words == 2
+    assert decontaminate.contamination(d.limit(0), b).collect() == []
