@@ -1,0 +1,98 @@
+"""Archives: exact round trips, and salvage of damaged files."""
+
+import hashlib
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidemark.llm import warc
+
+
+def make(payloads, plain=False):
+    out = []
+    for k, p in enumerate(payloads):
+        r = warc.record(str(k), "http://a/", p, hashlib.sha256(p).hexdigest(), None)
+        out.append(r if plain else warc._member(r))
+    return out
+
+
+def read(data, window=1 << 20):
+    return list(warc.salvage(lambda a, n: data[a : a + n], len(data)))
+
+
+def keys(found):
+    return [x.headers["x-key"] if isinstance(x, warc.Record) else (x.start, x.stop) for x in found]
+
+
+@pytest.mark.parametrize("plain", [True, False])
+def test_damage(plain, monkeypatch):
+    rng = random.Random(2)
+    for window in (1 << 20, 97):
+        monkeypatch.setattr(warc, "_WINDOW", max(window, 3000 if plain else 97))
+        parts = make([rng.randbytes(rng.randrange(0, 2000)) for _ in range(6)], plain)
+        at = [sum(map(len, parts[:k])) for k in range(7)]
+        data = b"".join(parts)
+        assert keys(read(data)) == list("012345")
+        for place in (at[2] + 1, at[2] + (9 if plain else 12), at[3] - 30, at[3] - 3):  # in the version line, the headers, the block, the end
+            bad = bytearray(data)
+            bad[place] ^= 0x55
+            assert keys(read(bytes(bad))) == ["0", "1", (at[2], at[3]), "3", "4", "5"]
+        assert keys(read(data[: at[5] + 40])) == ["0", "1", "2", "3", "4", (at[5], at[5] + 40)]
+        assert keys(read(b"noise" + data)) == [(0, 5), *"012345"]
+        assert keys(read(data[: at[1]] + data[at[1] + 50 :])) == ["0", (at[1], at[2] - 50), "2", "3", "4", "5"]
+        assert keys(read(b"garbage" * 9)) == [(0, 63)] and read(b"") == []
+
+
+def test_damage_inside_a_member():
+    whole = make([b"a" * 50, b"b" * 50, b"c" * 50], plain=True)
+    bad = bytearray(whole[1])
+    bad[-20] ^= 1
+    member = warc._member(whole[0] + bytes(bad) + whole[2])
+    assert keys(read(member)) == ["0", (0, len(member)), "2"]
+
+
+@given(st.lists(st.binary(max_size=300), max_size=6), st.integers(0, 5000), st.integers(1, 255))
+@settings(max_examples=60, deadline=None)
+def test_one_bad_byte_costs_one_record(payloads, place, change):
+    parts = make(payloads)
+    data = bytearray(b"".join(parts))
+    if data:
+        data[place % len(data)] ^= change
+    found = read(bytes(data))
+    assert sum(isinstance(x, warc.Record) for x in found) >= len(parts) - 1
+    for x in found:
+        if isinstance(x, warc.Record):
+            assert x.payload == payloads[int(x.headers["x-key"])]
+
+
+def test_round_trip(spark, tmp_path):
+    big = "é" * 80
+    rows = [(5, "http://x/ y\r\nEvil: 1", big, "k"), (3, None, big, "k"), (None, "u", big, None), (3, "v", big, ""), (9, "u", None, None), (8, "u", "", None),
+            (7, "u", "short", None), (6, "u", "short", None), (1, "u", "WARC/1.1\r\n" * 30, None), (None, "u", "z" * 200, None), (None, "u", "z" * 200, None), (-4, "u", "long" * 100_000, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, key string")
+    folder = f"file://{tmp_path}/w"
+    archives = warc.write_archives(pages, folder, archive_bytes=300)
+    back = warc.read_archives(archives, folder).collect()
+    assert sum(r.records for r in archives.collect()) == len(rows) and archives.count() > 1
+    assert all(r.kind != "gap" for r in back)
+    want = []
+    for key, _, html, _ in rows:
+        p = (html or "").encode()
+        ids = [k for k, _, h, _ in rows if (h or "").encode() == p and k is not None]
+        to = min(ids) if len(p) >= 100 and ids and key != min(ids) else None
+        want.append((str(key), "response" if to is None else "revisit", str(to), len(p), hashlib.sha256(p).hexdigest(), p if to is None else b""))
+    name = lambda x: "None" if x in (None, "null") else x
+    got = [(name(r.key), r.kind, name(r.refers_to), r.payload_bytes, r.payload_digest, bytes(r.payload)) for r in back]
+    assert sorted(got) == sorted(want)
+    assert any(r.url == "http://x/%20y%0D%0AEvil:%201" for r in back) and any(r.url is None for r in back)
+    short = sorted(map(str, warc.round_trip(pages).select("page_id", "record_type", "refers_to").collect()))
+    assert len(short) == len(rows) and sum("revisit" in x for x in short) == 2
+
+
+def test_string_keys_and_no_rows(spark):
+    pages = spark.createDataFrame([('a"b[1]\\é', "u", "x" * 200), ("c", "u", "x" * 200)], "page_id string, url string, html string")
+    got = sorted((r.page_id, r.refers_to) for r in warc.round_trip(pages).collect())
+    assert got == [('a"b[1]\\é', None), ("c", 'a"b[1]\\é')]
+    assert warc.round_trip(pages.limit(0)).collect() == []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, oracles, packing, quality_rules, repeats, simhash
+from tidemark.llm import decontaminate, oracles, packing, quality_rules, repeats, simhash, warc
 from tidemark.llm.shared import table
 
 
@@ -27,6 +27,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -41,9 +45,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": op5_simhash,
         "op7_repeats": op7_repeats,
         "op8_quality_rules": op8_quality_rules,
+        "op9_warc": op9_warc,
         "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": oracles.QUALITY_RULES, "op10_decontamination": oracles.CONTAMINATION}
+    return {"op8_quality_rules": oracles.QUALITY_RULES, "op9_warc": oracles.WARC, "op10_decontamination": oracles.CONTAMINATION}
