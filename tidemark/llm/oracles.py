@@ -48,3 +48,30 @@ SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id <> first THEN
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)
 """
+
+CHAT = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+t AS (SELECT conv_id, row_number() OVER w - 1 AS i, role, text,
+             len(regexp_extract_all(text, '[0-9A-Za-z]+|[^0-9A-Za-z\x20\x09-\x0D]')) + 4 AS tok,
+             24 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS chars
+      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+p AS (SELECT *, coalesce(sum(tok) OVER b, 0) AS tb, coalesce(sum(chars) OVER b, 0) AS cb, first_value(role) OVER w = 'system' AS sys,
+             first_value(tok) OVER w AS tok0, first_value(chars) OVER w AS chars0
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY i), b AS (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT p.conv_id, p.i, coalesce(max(p.i - q.i), 0) AS h FROM p LEFT JOIN p q ON p.conv_id = q.conv_id AND q.i < p.i AND q.i >= p.i - 4 AND q.i >= CAST(p.sys AS INT)
+        AND p.tb - q.tb <= 256 AND p.tb - q.tb + p.tok + CASE WHEN p.sys THEN p.tok0 ELSE 0 END <= 1024 GROUP BY p.conv_id, p.i),
+ph AS (SELECT p.*, h.h, p.tb - q.tb AS ht, p.cb - q.cb AS hc FROM p JOIN h USING (conv_id, i) JOIN p q ON q.conv_id = p.conv_id AND q.i = p.i - h.h),
+r AS (SELECT conv_id, i, CAST(tok AS BIGINT) AS used, true AS opens FROM ph WHERE i = 0
+      UNION ALL
+      SELECT ph.conv_id, ph.i, CAST(CASE WHEN r.used + tok <= 1024 THEN r.used + tok ELSE CASE WHEN sys THEN tok0 ELSE 0 END + ht + tok END AS BIGINT), r.used + tok > 1024
+      FROM r JOIN ph ON ph.conv_id = r.conv_id AND ph.i = r.i + 1),
+f AS (SELECT conv_id, CAST(sum(chars + CASE WHEN opens AND i > 0 THEN hc + CASE WHEN sys THEN chars0 ELSE 0 END ELSE 0 END) AS BIGINT) AS formatted_chars,
+             CAST(count(*) FILTER (opens) AS BIGINT) AS n_windows FROM r JOIN ph USING (conv_id, i) GROUP BY conv_id)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       any_value(formatted_chars) AS formatted_chars, any_value(n_windows) AS n_windows
+FROM p JOIN f USING (conv_id) GROUP BY conv_id
+"""
