@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import materialize
 
 THRESHOLD = 400
-LOCAL = 256
+LOCAL = 4096
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _CHUNK = 1 << 20
@@ -263,18 +263,23 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     # First digit.
     grams = suffixes.groupBy(F.col("gram").alias("of_gram")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("of_gram")
+    # Written first, here and below: a join of two plain exchanges is one that adaptive execution can split.
+    grams = materialize(grams, "grams")
     alive = suffixes.join(grams, F.col("gram") == F.col("of_gram")).drop("of_gram")
     alive = materialize(alive.withColumn("tag", F.xxhash64("id", "text_hash", "at")), "suffixes-repeated")
     # Second digit.
     classes = alive.groupBy(F.col("gram").alias("c_gram"), F.col("ext").alias("c_ext")).agg(
         F.count(F.lit(1)).alias("n"), F.min("tag").alias("speaker")
     )
-    sizes = classes.groupBy(F.col("c_gram").alias("s_gram")).agg(F.count(F.lit(1)).alias("classes"))
+    classes = materialize(classes, "classes")
+    sizes = materialize(
+        classes.groupBy(F.col("c_gram").alias("s_gram")).agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"), "class-counts"
+    )
     judged = (
         alive.join(classes, (F.col("gram") == F.col("c_gram")) & (F.col("ext") == F.col("c_ext")))
-        .join(sizes, F.col("gram") == F.col("s_gram"))
+        .join(sizes, F.col("gram") == F.col("s_gram"), "left")
         .withColumn("whole", F.col("n") > 1)
-        .withColumn("on", (F.col("classes") > 1) & ((F.col("n") == 1) | (F.col("tag") == F.col("speaker"))))
+        .withColumn("on", F.col("classes").isNotNull() & ((F.col("n") == 1) | (F.col("tag") == F.col("speaker"))))
         .where(F.col("whole") | F.col("on"))
         .select("id", "text_hash", "gram", "classes", "at", "before", "after", "whole", "on")
     )
