@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, oracles, packing, quality_rules, repeats, simhash, warc
+from tidemark.llm import chat, decontaminate, nbsvm, oracles, packing, quality_rules, repeats, simhash, warc
 from tidemark.llm.shared import table
 
 
@@ -29,6 +29,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat": op2_chat,
         "op3_packing": op3_packing,
         "op5_simhash": op5_simhash,
+        "op6_nbsvm": op6_nbsvm,
         "op7_repeats": op7_repeats,
         "op8_quality_rules": op8_quality_rules,
         "op9_warc": op9_warc,
