@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, nbsvm, oracles, packing, quality_rules, repeats, simhash, warc
+from tidemark.llm import chat, decontaminate, html_extract, nbsvm, oracles, packing, quality_rules, repeats, simhash, warc
 from tidemark.llm.shared import table
 
 
@@ -25,6 +25,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat": op2_chat,
         "op3_packing": op3_packing,
+        "op4_html": op4_html,
         "op5_simhash": op5_simhash,
         "op6_nbsvm": op6_nbsvm,
         "op7_repeats": op7_repeats,
