@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, html_extract, nbsvm, oracles, packing, quality_rules, repeats, simhash, warc
-from tidemark.llm.shared import table
+from tidemark.llm import chat, decontaminate, html_extract, nbsvm, oracles, packing, quality_rules, repeats, simhash, token_counts, warc
+from tidemark.llm.shared import materialize, scratch_path, table
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inserted, those labelled bad deleted again; the second sending of a batch changes nothing."""
+    counts = materialize(token_counts.count_tokens(table(spark, sf_dir, "documents")), "token-counts")
+    bad = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("id")).distinct()
+    rollup = token_counts.Rollup(spark, scratch_path(spark, "rollup"))
+    for _ in range(2):
+        rollup.commit("load", token_counts.signed(counts, 1))
+        rollup.commit("drop bad", token_counts.signed(counts.join(bad, "id", "left_semi"), -1))
+    return rollup.totals()
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +70,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_chat": op2_chat,
         "op3_packing": op3_packing,
         "op4_html": op4_html,
