@@ -27,3 +27,10 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf():
     return SF
+
+
+@pytest.fixture
+def lake(spark, tmp_path):
+    from tidemark import connect
+
+    return connect(spark, str(tmp_path / "lake"))
