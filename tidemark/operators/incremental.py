@@ -22,26 +22,32 @@ class Total:
     kind: str
     value: Column | str | None = None
 
-    def partial(self, name: str) -> Column:
+    def of_row(self) -> Column:
+        """What one row adds."""
         if self.kind not in MERGE:
             raise ValueError(f"{self.kind!r} cannot be merged from parts; use {', '.join(MERGE)}")
-        v = F.lit(1) if self.value is None else F.expr(self.value) if isinstance(self.value, str) else self.value
-        return {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[self.kind](v).alias(name)
+        v = None if self.value is None else F.expr(self.value) if isinstance(self.value, str) else self.value
+        if self.kind == "count":
+            return F.lit(1).cast("long") if v is None else F.when(v.isNotNull(), 1).otherwise(0).cast("long")
+        return v
 
 
-def merge_totals(running: DataFrame | None, partial: DataFrame, keys: list[str], totals: dict[str, Total]) -> DataFrame:
-    """Running totals and a batch's as one. min and max hold for sources that only grow."""
-    if running is None or not running.columns:
-        return partial
-    both = running.select(*partial.columns).unionByName(partial)
-    return both.groupBy(*keys).agg(*(MERGE[t.kind](name).alias(name) for name, t in totals.items())).select(*partial.columns)
+def merge_totals(running: DataFrame | None, batch: DataFrame, keys: list[str], totals: dict[str, Total]) -> DataFrame:
+    """Running totals brought up to date by a batch's rows, in one aggregation.
+
+    Rows are combined before the one shuffle there is. min and max hold for sources that only grow.
+    """
+    both = batch.select(*keys, *(t.of_row().alias(name) for name, t in totals.items()))
+    if running is not None:
+        both = running.select(*both.columns).unionByName(both)
+    return both.groupBy(*keys).agg(*(MERGE[t.kind](name).alias(name) for name, t in totals.items()))
 
 
 class IncrementalAggregate:
     """A gold table kept up to date from a source's new rows.
 
     A step polls the source, shapes the batch (``prepare``: for example a join with a dimension as it is
-    now), aggregates it, merges it into the sink's rows, and overwrites the sink
+    now), adds it to the sink's totals, and overwrites the sink
     together with the position, in one commit. Two steps of one name
     cannot both win: the commit expects the position that the step began with.
     """
@@ -60,9 +66,8 @@ class IncrementalAggregate:
         batch = self.consumer.poll()
         if batch is None:
             return None
-        partial = self.prepare(batch.data).groupBy(*self.keys).agg(*(t.partial(n) for n, t in self.totals.items()))
         running = self.sink.read() if self.sink.exists() else None
-        merged = merge_totals(running, partial, self.keys, self.totals)
+        merged = merge_totals(running, self.prepare(batch.data), self.keys, self.totals)
         if not self.sink.exists():
             self.sink.create(merged.schema)
         self.sink.overwrite(merged, self.consumer.stored(batch.offset), {self.name: stored})

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.incremental import IncrementalAggregate, Total
-from tidemark.operators.latest import latest_by_key
 from tidemark.sources.table_format import OFFSET
 from tidemark.streaming.pipeline import Session, connect
 
@@ -43,7 +42,7 @@ class Medallion:
         def silver_events(events):
             return clean(events)
 
-        @lake.model(source="bronze.users", sink="silver.users", start="earliest", name="silver_users")
+        @lake.model(source="bronze.users", sink="silver.users", start="earliest", mode="upsert", key="user_id", name="silver_users")
         def silver_users(users):
             return users
 
@@ -52,7 +51,7 @@ class Medallion:
         )
 
     def _with_country(self, events: DataFrame) -> DataFrame:
-        users = latest_by_key(self.lake.source("silver.users").read_all(), ["user_id"]).select("user_id", "country")
+        users = self.lake.table("silver.users").read()
         cents = F.round(F.col("value") * 100).cast("long").alias("cents")
         return events.select("user_id", cents).join(users, "user_id").select("country", "cents")
 

@@ -226,7 +226,7 @@ def sql_gold(spark, sf_dir):
 @query(CLEAN)
 def backfill_modulo(spark, sf_dir):
     db = logged(spark, sf_dir)
-    work = Backfill(db.source("bronze.events"), db.source("silver.events"), lambda d: clean(d).drop(OFFSET), num_shards=4, batch_rows=2000)
+    work = Backfill(db.source("bronze.events"), db.source("silver.events"), lambda d: clean(d).drop(OFFSET), num_shards=4)
     work.run()
     work.run()  # done: reads and writes nothing
     return db.table("silver.events").read()
