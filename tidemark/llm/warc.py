@@ -36,7 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialize, scratch_path, shuffle_parts
+from tidemark.llm.shared import materialize, shuffle_parts
+from tidemark.sources.scratch import scratch_path
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 64 << 20
