@@ -246,3 +246,18 @@ def test_hadoop_store(spark, tmp_path):
     assert store.names(f"file://{tmp_path}/x") == [] and store.read(path) is None
     assert store.put_if_absent(path, b"\x00one") and not store.put_if_absent(path, b"two")
     assert store.read(path) == b"\x00one" and store.names(f"file://{tmp_path}/x") == ["1.json"]
+
+
+def test_tables_of_other_stores(spark, tmp_path, monkeypatch):
+    """As on a store that only Hadoop's file systems reach."""
+    from tidemark.sources.log_store import HadoopStore
+
+    monkeypatch.setattr(module, "store_for", lambda s, uri: (HadoopStore(s), uri))
+    monkeypatch.setattr(module, "local_path", lambda uri: None)
+    t = LogTable(spark, f"file://{tmp_path}/t")
+    t.append(rows(spark, ("a", 1), ("b", 2)), {"r": 1})
+    t.append(rows(spark, (9, "c", 3), schema="_offset long, k string, value long"))
+    t.upsert(rows(spark, ("b", 20)), ["k"])
+    again = LogTable(spark, f"file://{tmp_path}/t")
+    assert got(again.read_all(), "_offset", "k", "value") == [(0, "a", 1), (9, "c", 3), (10, "b", 20)]
+    assert again.read_offsets() == {"r": 1} and again.read_since(0)[1] == 10
