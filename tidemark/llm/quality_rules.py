@@ -127,10 +127,12 @@ def line_table(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
             F.xxhash64(x).alias("h1"), F.hash(x).alias("h2"), F.size(F.split(x, " ")).cast("long").alias("words")
         ),
     )
-    return docs.select(
-        F.col(doc_id).alias("id"), F.xxhash64(body).alias("text_hash"), F.col(host).alias("host"),
-        F.posexplode_outer(hashed).alias("pos", "line"),  # not explode: for that, Catalyst adds a filter that hashes again
-    ).where("pos is not null").select("id", "text_hash", "host", "pos", "line.*")
+    # Hashes are made below the generator, once for each text: above it they would be made for each line.
+    # It is the outer one since for an inner one Catalyst adds a filter that makes all lines again.
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(body).alias("text_hash"), F.col(host).alias("host"), hashed.alias("lines"))
+    return rows.select("id", "text_hash", "host", F.posexplode_outer("lines").alias("pos", "line")).where("pos is not null").select(
+        "id", "text_hash", "host", "pos", "line.*"
+    )
 
 
 def frequent_lines(lines: DataFrame, docs: DataFrame, text: str, host: str, min_docs: int, doc_share: float) -> DataFrame:
