@@ -419,6 +419,51 @@ passed("lateral_top", "SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELE
 passed("try_cast_values", "SELECT doc_id, TRY_CAST(lang AS INTEGER) AS as_int, TRY_CAST(substr(source, 4) AS INTEGER) AS num FROM documents")
 
 
+passed("recursive_cte", "WITH RECURSIVE up AS (SELECT 1 AS n, CAST(1 AS BIGINT) AS f UNION ALL SELECT n + 1, f * (n + 1) FROM up WHERE n < 15) SELECT n, f, (SELECT count(*) FROM region) AS regions FROM up")
+passed("struct_and_map", """SELECT n_nationkey, s.a AS a, s.b AS b, m['k'][1] AS v FROM (SELECT n_nationkey, struct_pack(a := n_name, b := n_regionkey) AS s, MAP {'k': [n_regionkey, n_nationkey]} AS m FROM nation)""",
+       """SELECT n_nationkey, s.a AS a, s.b AS b, element_at(m['k'], 1) AS v FROM (SELECT n_nationkey, named_struct('a', n_name, 'b', n_regionkey) AS s, map('k', array(n_regionkey, n_nationkey)) AS m FROM nation)""")
+passed("unnest_words", "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(left(text, 200)), ' ')) AS w FROM documents) GROUP BY doc_id, w",
+       "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, explode(split(lower(left(text, 200)), ' ')) AS w FROM documents) GROUP BY doc_id, w")
+passed("in_subquery", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT user_id FROM events WHERE value > 150) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+passed("math_functions", "SELECT s_suppkey, round(abs(s_acctbal), 1) AS a, floor(s_acctbal) AS f, ceil(s_acctbal) AS c, s_suppkey % 7 AS m, power(2, s_suppkey % 10) AS p, sign(s_acctbal) AS s FROM supplier".replace("floor(s_acctbal)", "CAST(floor(s_acctbal) AS BIGINT)").replace("ceil(s_acctbal)", "CAST(ceil(s_acctbal) AS BIGINT)").replace("sign(s_acctbal)", "CAST(sign(s_acctbal) AS INTEGER)"))
+
+
+@query("SELECT n_nationkey, s_suppkey FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation) JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier) USING (k)")
+def positional_join(spark, sf_dir):
+    """Rows by their place: minted offsets are the places."""
+    db = lake(spark)
+    for name, key in (("nation", "n_nationkey"), ("supplier", "s_suppkey")):
+        db.table(name).write(read(spark, sf_dir, name).select(key).orderBy(key))
+    return db.source("nation").read_all().join(db.source("supplier").read_all(), OFFSET).drop(OFFSET)
+
+
+@query("SELECT event_id, value * 2 AS twice FROM events WHERE value > 50")
+def pandas_transform(spark, sf_dir):
+    """A transform may be Python over Arrow batches where no built-in function will do."""
+
+    def double(batches):
+        for b in batches:
+            b = b[b["value"] > 50]
+            yield b.assign(twice=b["value"] * 2)[["event_id", "twice"]]
+
+    db = logged(spark, sf_dir)
+    db.model(source="bronze.events", sink="t", start="earliest", name="double")(lambda d: d.select("event_id", "value").mapInPandas(double, "event_id long, twice double")).run(once=True)
+    return db.table("t").read()
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def distinct_users(spark, sf_dir):
+    return logged(spark, sf_dir).table("bronze.events").read().groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM events GROUP BY 1, 2")
+def hourly_windows(spark, sf_dir):
+    """Tumbling windows over a table that is also a stream."""
+    rows = logged(spark, sf_dir).table("bronze.events").read()
+    hour = F.window(F.col("ts").cast("timestamp"), "1 hour")["start"].cast("timestamp_ntz")
+    return rows.groupBy(hour.alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+
+
 @query("""SELECT o.o_orderkey, e.event_id, e.value FROM (SELECT *, o_orderkey % (SELECT max(c_custkey) FROM customer) AS u,
 (SELECT min(ts) FROM events) + to_seconds(o_orderkey * 37 % 864000) AS at FROM orders) o
 ASOF LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS k FROM events) WHERE k = 1) e ON o.u = e.user_id AND o.at >= e.ts""")
