@@ -100,6 +100,25 @@ def sync_points(data: bytes, threshold: int) -> tuple[np.ndarray, np.ndarray, np
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
+def _runs(at: np.ndarray, before: np.ndarray, after: np.ndarray, gram: np.ndarray, ext: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Neighbouring suffixes that are all alike, as in periodic text, by the first and the last.
+
+    They are copies of each other, so the first can stand for the windows of all; the
+    last keeps it from being single.
+    """
+    same = np.ones(len(at) - 1, bool)
+    for x in (before, after, gram, ext):
+        same &= x[1:] == x[:-1]
+    first = np.concatenate([[True], ~same])
+    last = np.concatenate([~same, [True]])
+    heads = np.flatnonzero(first)
+    stop = at - after
+    after = after.copy()
+    after[heads] = at[heads] - stop[np.flatnonzero(last)]
+    kept = first | last
+    return at[kept], before[kept], after[kept], gram[kept], ext[kept]
+
+
 def _suffixes(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,8 +133,9 @@ def _suffixes(threshold: int):
                     xxhash.xxh3_64_intdigest(data[p : q + threshold], a - p)
                     for a, p, q in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True)
                 ]
-                out.append((at, at - lo, at - hi, gram.view(np.int64), np.array(ext, np.uint64).view(np.int64)))
-                row.append(np.full(len(at), k))
+                found = _runs(at, at - lo, at - hi, gram.view(np.int64), np.array(ext, np.uint64).view(np.int64))
+                out.append(found)
+                row.append(np.full(len(found[0]), k))
             if not out:
                 continue
             at, before, after, gram, ext = (np.concatenate(x) for x in zip(*out, strict=True))
