@@ -4,16 +4,16 @@ naive Bayes log-count ratios.
 1. Texts become sets of hashed n-grams: words and pairs of words; shapes of words
    (letter cases, digits, marks, runs collapsed) alone, in pairs, and with the share of the
    text that they make up; and how often words and lines repeat.
-2. Over all labelled training rows the documents with each n-gram are counted per
-   class; the log of the ratio of their smoothed shares scales the indicator.
+2. Over the texts of ``LABEL_ROWS`` labels at most, the first by hash of their id, the documents with
+   each n-gram are counted per class; the log of the ratio of their smoothed shares scales the indicator.
 3. Dual coordinate descent fits a hinge-loss model with a weight for each class
-   on ``FIT_ROWS`` rows at most, the first by hash of text and id; a sigmoid
+   on ``FIT_ROWS`` of these texts at most, each once, the first by hash of text and id; a sigmoid
    fitted on ``CALIBRATION_ROWS`` others turns margins into probabilities.
 4. Every text is scored, whole, where it is read.
 
-Scale. Counts are summed before their shuffle and there are at most 2 ** ``BITS`` of
-them; with the two bounded samples they are all that the driver gets. The model is an array of
-that size. Scoring has no shuffle; labels are joined by id.
+Scale. The labels in use are bounded and go to the texts, which are never shuffled. Counts are summed
+before their shuffle and there are at most 2 ** ``BITS`` of them; with the two bounded
+samples they are all that the driver gets. The model is an array of that size. Scoring has no shuffle.
 
 Cases. Null and empty texts have no n-grams and get the score of the bias. Null labels
 are left out; rows that share an id have each other's label, and several labels
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import materialize
 
 BITS = 18
+LABEL_ROWS = 50_000
 FIT_ROWS = 8000
 CALIBRATION_ROWS = 4000
 #: With fewer rows than both, folds of all rows are calibrated on in turn.
@@ -264,13 +265,16 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
-    bits: int = BITS, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS,
+    bits: int = BITS, label_rows: int = LABEL_ROWS, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS,
 ) -> Model:
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("l_id")).agg(
         (F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("good")
     )
+    known = known.where(~held_out(F.col("l_id"))).orderBy(F.xxhash64(F.lit(5), "l_id"), "l_id").limit(label_rows)
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    train = materialize(rows.where(~held_out(F.col("id"))).join(known, F.col("id") == F.col("l_id")).select("id", "text", "good"), "labelled")
+    # At most label_rows rows of two numbers: texts stay where they are.
+    train = rows.join(F.broadcast(known), F.col("id") == F.col("l_id")).select("id", "text", "good", F.xxhash64(F.lit(7), F.xxhash64("text"), "id").alias("place"))
+    train = materialize(train, "labelled")
     found = (
         train.select("text", "good").mapInArrow(_counted(bits), "feature long, bad long, good long")
         .groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()
@@ -289,9 +293,9 @@ def fit(
     ratio[count.sum(0) < 2] = 0
 
     wanted = fit_rows + calibration_rows
-    place = F.xxhash64(F.lit(7), F.xxhash64("text"), "id")
     share = min(1.0, 1.1 * wanted / docs_of.sum())
-    picked = train.select("text", "good", place.alias("place")).where(F.col("place") <= min(2**63 - 1, int((share - 0.5) * 2**64)))
+    picked = train.where(F.col("place") <= min(2**63 - 1, int((share - 0.5) * 2**64)))
+    picked = picked.groupBy("place").agg(F.first("text").alias("text"), F.max("good").alias("good")).select("text", "good", "place")
     sample = picked.mapInArrow(_packed(bits), "features binary, good int, place long").collect()
     sample = sorted(sample, key=lambda r: (r.place, r.good))[:wanted]
     features = [np.frombuffer(r.features, np.int32) for r in sample]
