@@ -285,9 +285,11 @@ def write_archives(
         pages.select(F.col(key).alias("key"), payload.alias("body")).where(F.octet_length("body") >= min_revisit)
         .groupBy(F.sha2("body", 256).alias("f_digest")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).where("n > 1").drop("n")
     )
+    first = materialize(first, "first-copies")  # a join of two plain exchanges is one that adaptive execution can split
+    as_json = lambda c: F.get(F.split(F.to_json(F.array(c)), r"^\[|\]$"), F.lit(1))
+    again = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
     marked = rows.join(first, F.col("digest") == F.col("f_digest"), "left").select(
-        *(F.coalesce(F.get(F.split(F.to_json(F.array(c)), r"^\[|\]$"), F.lit(1)), F.lit("null")).alias(c) for c in ("key",)), "url", "body", "digest",
-        F.when(F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")), F.get(F.split(F.to_json(F.array("first")), r"^\[|\]$"), F.lit(1))).alias("refers_to"),
+        as_json("key").alias("key"), "url", "body", "digest", F.when(again, as_json("first")).alias("refers_to")
     )
     return materialize(marked.mapInArrow(_written(folder, archive_bytes), "path string, records long, bytes long"), "archives")
 
