@@ -27,6 +27,17 @@ def test_blocks():
     assert texts("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>end") == ["deep", "end"]
 
 
+def test_boilerplate_names():
+    junk = ['class="ad-slot"', 'id=comments', 'class="post-comments"', "class='entry-footer'", 'class="advertBox sideBar cookieNotice"', 'class="x newsletter-signup"', 'role=navigation', "hidden", 'aria-hidden="true"',
+            'style="color:red; display: none"', 'id="relatedPosts"', 'class="comment-body"']
+    kept = ['class="adventure"', 'class="has-sidebar"', 'class="content-sidebar-wrap"', 'data-id="menu"', 'class="post article-body"', 'aria-hidden="false"', "class", 'title="hidden"']
+    for a in junk:
+        assert texts(f"<div {a}>no</div>yes") == ["yes"], a
+    for a in kept:
+        assert texts(f"<div {a}>yes</div>") == ["yes"], a
+    assert texts('<body class="sidebar-left ads"><article id="comments">yes</article></body>') == ["yes"]
+
+
 def test_host():
     assert hx.host_of("http://u:p@A.example:80/x?y") == "a.example" and hx.host_of(None) == "" and hx.host_of("/x") == ""
     assert hx.host_of("//[::1]:3/") == "[::1]" and hx.host_of("http://b.example#c") == "b.example"

@@ -39,16 +39,19 @@ JUNK_WORDS = frozenset(
     "breadcrumbs pagination pager footer header masthead cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup "
     "share sharing social related recommended comments comment commentlist respond disqus popup modal overlay toolbar widget widgets skip".split()
 )
-#: Words of a class or id that keep an element whatever else they say.
-KEEP_WORDS = frozenset("article content main post entry story body text".split())
+#: Words that make a class or id speak of a layout around such parts, not of one.
+LAYOUT_WORDS = frozenset("has with no without layout".split())
+CONTENT_WORDS, BOX_WORDS = frozenset("article content main".split()), frozenset("box container grid layout row wrap wrapper".split())
+#: Elements that no class or id makes boilerplate.
+NEVER_JUNK = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(?=/?[a-zA-Z])[^>]*+(?:>|\Z)", re.S
 )
-_ATTR = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
-_WORDS = re.compile(r"[a-zA-Z]+")
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 #: Elements nested deeper are marks of a block's end inside the element above.
@@ -65,24 +68,30 @@ class Node:
         self.parts: list[Node | tuple[str, bool]] = []
 
 
+def _speaks_of_junk(name: str) -> bool:
+    """Whether a class or id, in whatever way its words are joined, names boilerplate."""
+    words = {w.lower() for w in _WORDS.findall(name)}
+    if not words & JUNK_WORDS or words & LAYOUT_WORDS:
+        return False
+    return not (words & CONTENT_WORDS and words & BOX_WORDS)
+
+
 def _traits(tag: str, attrs: str) -> tuple[str, bool]:
     """The label that alignment compares, and whether the element is boilerplate."""
     label, junk = tag, tag in JUNK_TAGS
     if attrs and not attrs.isspace():
         names: list[str] = []
         for m in _ATTR.finditer(attrs):
-            name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+            name, raw = m[1].lower(), (m[2] or "").strip("\"'")
+            value = raw.lower()
             if name in ("class", "id"):
-                names += value.split()
+                names += raw.split()
             elif name == "role":
                 junk |= value in JUNK_ROLES
                 label += f"@{value}"
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                 junk = True
-        for n in names:
-            words = _WORDS.findall(n)
-            if words and not KEEP_WORDS & set(words) and JUNK_WORDS & set(words):
-                junk = True
+        junk |= tag not in NEVER_JUNK and any(map(_speaks_of_junk, names))
         if names:
             label += "." + ".".join(sorted({re.sub(r"\d+", "0", n) for n in names}))
     return label, junk
