@@ -51,6 +51,21 @@ def test_starts(spark, source, store, lake):
             Consumer(source, "d", store, start=bad)
 
 
+def test_latest_is_that_of_the_first_time(spark, source, store):
+    assert Consumer(source, "c", store).poll() is None
+    more(spark, source, 4, 5)
+    assert Consumer(source, "c", store).poll().num_rows == 2
+
+
+def test_positions_before_columns(spark, source, lake):
+    sink = lake.source("later")
+    c = Consumer(source, "c", SinkCheckpointStore(sink), start="earliest")
+    c.save()
+    assert not sink.exists() and sink.read_offsets() == {"c": -1} and sink.read_all().columns == []
+    sink.append(c.poll().data)
+    assert sink.exists() and sink.read().count() == 4 and sink.read_offsets() == {"c": -1}
+
+
 def test_seek_reset_are_kept_only_when_saved(source, store):
     c = Consumer(source, "c", store, start="earliest")
     c.poll()

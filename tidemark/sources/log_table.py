@@ -123,7 +123,8 @@ class LogTable:
             state.take(json.loads(data))
 
     def exists(self) -> bool:
-        return self.state().version >= 0
+        """Whether the table has columns; positions may be there before."""
+        return self.state().schema is not None
 
     @property
     def schema(self) -> T.StructType | None:
@@ -164,13 +165,14 @@ class LogTable:
             self.store.put_if_absent(f"{self.root}/_log/{state.version:020d}.state", json.dumps(state.__dict__).encode())
 
     def create(self, schema: T.StructType) -> LogTable:
-        """Version 0: an empty table with these columns. Does nothing to a table that exists."""
+        """An empty table with these columns. Does nothing to a table that exists."""
         loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
-        if not self.exists():
-            try:
+
+        def attempt() -> None:
+            if not self.exists():
                 self._publish("create", schema=loose.json())
-            except CommitConflict:
-                self.state()
+
+        retrying(attempt)
         return self
 
     # Writing.

@@ -30,8 +30,11 @@ class JsonCheckpointStore:
         return self._load().get(name)
 
     def set(self, name: str, offset: int | None) -> None:
+        self.set_all({name: offset})
+
+    def set_all(self, offsets: dict[str, int | None]) -> None:
         with self._lock:
-            data = self._load() | {name: START if offset is None else offset}
+            data = self._load() | {k: START if v is None else v for k, v in offsets.items()}
             folder = os.path.dirname(os.path.abspath(self.path))
             os.makedirs(folder, exist_ok=True)
             handle, temp = tempfile.mkstemp(dir=folder)
@@ -52,4 +55,7 @@ class SinkCheckpointStore:
         return self.sink.read_offsets().get(name)
 
     def set(self, name: str, offset: int | None) -> None:
-        self.sink.commit_offsets({name: START if offset is None else offset})
+        self.set_all({name: offset})
+
+    def set_all(self, offsets: dict[str, int | None]) -> None:
+        self.sink.commit_offsets({k: START if v is None else v for k, v in offsets.items()})

@@ -50,6 +50,8 @@ class Consumer:
         self._pending: int | None = None
         seen = checkpoint.get(self.marker_name) if stored is not None else None
         self._marker = source.marker() if seen is None else seen
+        if stored is None and start == "latest" and self._offset is not None:
+            self.save()  # what was the latest when this name first read
 
     @property
     def marker_name(self) -> str:
@@ -90,12 +92,13 @@ class Consumer:
             self.save()
 
     def save(self) -> None:
-        """Store the position and the marker as they are."""
-        self.checkpoint.set(self.name, self._offset)
-        if self._marker is not None:
-            self.checkpoint.set(self.marker_name, self._marker)
+        """Store the position and the marker as they are, together where the store can."""
+        if hasattr(self.checkpoint, "set_all"):
+            self.checkpoint.set_all(self.stored(self._offset))
+        else:
+            self.checkpoint.set(self.name, self._offset)
 
-    def stored(self, offset: int) -> dict[str, int]:
+    def stored(self, offset: int | None) -> dict[str, int]:
         """What a commit of the sink has to carry for this consumer to be at ``offset``."""
         return {self.name: offset} | ({} if self._marker is None else {self.marker_name: self._marker})
 
