@@ -168,7 +168,7 @@ def _classed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     roots = fingerprint_classes(nodes.select("fp"))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
+    ids = materialize(rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")), "component-ids")
     named = rooted.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("of_fp"), "component_id")
     return rows.join(named, F.col("fp") == F.col("of_fp"))
 
