@@ -21,8 +21,3 @@ def buckets(until: int, n: int, name: str) -> list[tuple[str, int, int]]:
 def in_shard(column: str | Column, n: int, shard: int) -> Column:
     """Rows of one of n shards, by the offset's remainder."""
     return F.pmod(F.col(column) if isinstance(column, str) else column, F.lit(n)) == shard
-
-
-def in_range(column: str | Column, after: int | None, until: int) -> Column:
-    c = F.col(column) if isinstance(column, str) else column
-    return (c > F.lit(-1 if after is None else after)) & (c <= F.lit(until))

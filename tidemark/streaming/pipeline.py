@@ -7,7 +7,6 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.latest import dedup_latest, reorders
@@ -249,8 +248,3 @@ def session(spark: SparkSession, resolve: Callable[[str], TableFormat] | str, ch
         raise ValueError(f"checkpoint_mode must be json or sink, not {checkpoint_mode!r}")
     store = None if checkpoint_mode == "sink" else JsonCheckpointStore(checkpoint) if isinstance(checkpoint, str) else checkpoint
     return Session(spark, resolve, store)
-
-
-def offset_filter(rows: DataFrame, after: int | None, until: int | None = None) -> DataFrame:
-    rows = rows.where(F.col(OFFSET) > F.lit(-1 if after is None else after))
-    return rows if until is None else rows.where(F.col(OFFSET) <= F.lit(until))
