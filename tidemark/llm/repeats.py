@@ -327,6 +327,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     key = ["gram", "back", "w1", "w2"]
     twice = many.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(c).alias(f"o_{c}") for c in key])
+    twice = materialize(twice, "windows-repeated")
     wide = many.join(twice, [F.col(c) == F.col(f"o_{c}") for c in key]).select(
         "id", "text_hash", "start", (F.col("start") + threshold).alias("stop")
     )
