@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 WINDOW = 13
 #: Bytes of benchmark text in a block, and words of documents in a shard, about.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 SHARD_WORDS = 2 << 20
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
