@@ -42,7 +42,9 @@ FOLDS = 5
 THRESHOLD = 0.3
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 20
+#: Bytes of text in work at once, and rows of a batch.
+_CHUNK = 1 << 18
+_SLICE = 500
 
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _SHAPE = np.array(
@@ -143,6 +145,10 @@ def _parts(texts: list[bytes]) -> Iterator[slice]:
         yield slice(at, len(texts))
 
 
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, _SLICE) for i in range(0, batch.num_rows, _SLICE))
+
+
 def _bytes(column: pa.Array) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
@@ -167,7 +173,7 @@ class Model:
 def _scored(handle):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
+            for part in _sliced(b):
                 found = handle.value.scores(_bytes(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], ["id", "score"])
 
@@ -178,7 +184,7 @@ def _counted(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << bits), np.int64)
         docs = np.zeros(2, np.int64)
-        for b in batches:
+        for b in (s for whole in batches for s in _sliced(whole)):
             texts, good = _bytes(b.column(0)), b.column(1).to_numpy(zero_copy_only=False) > 0
             docs += [(~good).sum(), good.sum()]
             for part in _parts(texts):
@@ -196,7 +202,7 @@ def _counted(bits: int):
 
 def _packed(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for whole in batches for s in _sliced(whole)):
             texts = _bytes(b.column(0))
             found = []
             for part in _parts(texts):
