@@ -1,0 +1,12 @@
+"""Queries that read their tables whole, against plain loops on rows that a cut would lose."""
+
+from collections import Counter
+
+from tidemark.plans.queries import QUERIES
+
+
+def test_words_beyond_a_prefix(spark, tmp_path):
+    rows = [(1, "Fill  er " * 50 + "last"), (2, "LAST"), (3, ""), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter((d, w) for d, t in rows if t is not None for w in t.lower().split(" "))
+    assert {(r.doc_id, r.w): r.n for r in QUERIES["unnest_all_words"](spark, str(tmp_path)).collect()} == want

@@ -424,6 +424,8 @@ passed("struct_and_map", """SELECT n_nationkey, s.a AS a, s.b AS b, m['k'][1] AS
        """SELECT n_nationkey, s.a AS a, s.b AS b, element_at(m['k'], 1) AS v FROM (SELECT n_nationkey, named_struct('a', n_name, 'b', n_regionkey) AS s, map('k', array(n_regionkey, n_nationkey)) AS m FROM nation)""")
 passed("unnest_words", "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(left(text, 200)), ' ')) AS w FROM documents) GROUP BY doc_id, w",
        "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, explode(split(lower(left(text, 200)), ' ')) AS w FROM documents) GROUP BY doc_id, w")
+passed("unnest_all_words", "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) GROUP BY doc_id, w",
+       "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, explode(split(lower(text), ' ')) AS w FROM documents) GROUP BY doc_id, w")
 passed("in_subquery", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT user_id FROM events WHERE value > 150) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 passed("math_functions", "SELECT s_suppkey, round(abs(s_acctbal), 1) AS a, floor(s_acctbal) AS f, ceil(s_acctbal) AS c, s_suppkey % 7 AS m, power(2, s_suppkey % 10) AS p, sign(s_acctbal) AS s FROM supplier".replace("floor(s_acctbal)", "CAST(floor(s_acctbal) AS BIGINT)").replace("ceil(s_acctbal)", "CAST(ceil(s_acctbal) AS BIGINT)").replace("sign(s_acctbal)", "CAST(sign(s_acctbal) AS INTEGER)"))
 
