@@ -114,24 +114,24 @@ def base_stats(text: Column) -> Column:
 
 
 def line_table(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    """Each distinct normalised line of each document with its word count.
+    """Each normalised line of each document with its place among all its lines and its word count.
 
-    Normalised: lower case, white space collapsed and trimmed, digits made 0.
+    Lines without words are left out. Normalised: lower case, white space collapsed and trimmed, digits made 0.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     norm = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), WORD_GAP, " "), "[0-9]", "0"))
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD_CHAR))
+    placed = F.transform(F.split(body, "\n"), lambda x, i: F.struct(i.alias("pos"), norm(x).alias("line")))
     hashed = F.transform(
-        F.transform(lines, norm),
+        F.filter(placed, lambda x: x["line"] != ""),
         lambda x: F.struct(
-            F.xxhash64(x).alias("h1"), F.hash(x).alias("h2"), F.size(F.split(x, " ")).cast("long").alias("words")
+            x["pos"].alias("pos"), F.xxhash64(x["line"]).alias("h1"), F.hash(x["line"]).alias("h2"), F.size(F.split(x["line"], " ")).cast("long").alias("words")
         ),
     )
     # Hashes are made below the generator, once for each text: above it they would be made for each line.
     # It is the outer one since for an inner one Catalyst adds a filter that makes all lines again.
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(body).alias("text_hash"), F.col(host).alias("host"), hashed.alias("lines"))
-    return rows.select("id", "text_hash", "host", F.posexplode_outer("lines").alias("pos", "line")).where("pos is not null").select(
-        "id", "text_hash", "host", "pos", "line.*"
+    return rows.select("id", "text_hash", "host", F.explode_outer("lines").alias("line")).where("line is not null").select(
+        "id", "text_hash", "host", "line.*"
     )
 
 
@@ -149,7 +149,7 @@ def frequent_lines(lines: DataFrame, docs: DataFrame, text: str, host: str, min_
 
 
 def removed_words(docs: DataFrame, doc_id: str, text: str, host: str, min_docs: int, doc_share: float) -> DataFrame:
-    """(id, host, text_hash, removed) of the documents that lose lines."""
+    """(id, host, text_hash, removed, places) of the documents that lose lines: their words and where they are."""
     lines = line_table(docs, doc_id, text, host)
     often = frequent_lines(lines, docs, text, host, min_docs, doc_share).select(
         F.col("host").alias("f_host"), F.col("h1").alias("f1"), F.col("h2").alias("f2"),
@@ -163,8 +163,8 @@ def removed_words(docs: DataFrame, doc_id: str, text: str, host: str, min_docs:
     )
     return (
         hit.groupBy("id", "host", "text_hash", "pos").agg(F.max("words").alias("words"))  # equal rows have equal places
-        .groupBy("id", "host", "text_hash").agg(F.sum("words").alias("removed"))
-        .toDF("r_id", "r_host", "r_hash", "removed")
+        .groupBy("id", "host", "text_hash").agg(F.sum("words").alias("removed"), F.collect_list("pos").alias("places"))
+        .toDF("r_id", "r_host", "r_hash", "removed", "places")
     )
 
 
@@ -208,7 +208,21 @@ def quality_rules(
     return found.select("id", *STATS, "base_failed", "kept", "n_line_words_removed").withColumnRenamed("id", doc_id)
 
 
+def without_lines(text: Column, places: Column) -> Column:
+    """``text`` without the lines at ``places``; null places take nothing out."""
+
+    def rest(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    return F.when(places.isNull(), text).otherwise(let(F.split(text, "\n"), rest))
+
+
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality_rules` keeps, unchanged."""
+    """The rows of ``docs`` that :func:`quality_rules` keeps, their texts without their host's frequent lines.
+
+    Other columns, also those that speak of the text's length, are as they were.
+    """
     defaults = {"min_docs": MIN_DOCS, "doc_share": DOC_SHARE, "min_words": MIN_WORDS, "kept_share": KEPT_SHARE}
-    return _judged(docs, doc_id, text, host, **(defaults | limits)).where("kept").select("row.*")
+    kept = _judged(docs, doc_id, text, host, **(defaults | limits)).where("kept")
+    return kept.select(*(without_lines(F.col("row")[c], F.col("places")).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
