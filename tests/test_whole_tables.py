@@ -10,3 +10,13 @@ def test_words_beyond_a_prefix(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = Counter((d, w) for d, t in rows if t is not None for w in t.lower().split(" "))
     assert {(r.doc_id, r.w): r.n for r in QUERIES["unnest_all_words"](spark, str(tmp_path)).collect()} == want
+
+
+def test_every_part_is_in_the_range_join(spark, tmp_path):
+    events = [(k, k * 0.37) for k in range(200)]
+    parts = [(k, k * 17.0, 1 + k % 50) for k in range(1, 41)]
+    spark.createDataFrame(events, "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    want = Counter((e, p) for e, v in events for p, price, size in parts if price / 10 <= v < price / 10 + size / 100)
+    got = Counter((r.event_id, r.p_partkey) for r in QUERIES["range_join_all_prices"](spark, str(tmp_path)).collect())
+    assert got == want and any(p % 10 for _, p in got)

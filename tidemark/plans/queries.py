@@ -483,3 +483,9 @@ def asof_latest_event(spark, sf_dir):
 def range_join_prices(spark, sf_dir):
     ranges = read(spark, sf_dir, "part").where("p_partkey % 10 = 0").select("p_partkey", (F.col("p_retailprice") / 10).alias("low"), (F.col("p_retailprice") / 10 + F.col("p_size") / 100.0).alias("high"))
     return range_join(read(spark, sf_dir, "events").select("event_id", "value"), ranges, "value", "low", "high", 1.0).select("event_id", "p_partkey")
+
+
+@query("SELECT event_id, p_partkey FROM events JOIN part ON value >= p_retailprice / 10 AND value < p_retailprice / 10 + p_size / 100.0")
+def range_join_all_prices(spark, sf_dir):
+    ranges = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / 10).alias("low"), (F.col("p_retailprice") / 10 + F.col("p_size") / 100.0).alias("high"))
+    return range_join(read(spark, sf_dir, "events").select("event_id", "value"), ranges, "value", "low", "high", 1.0).select("event_id", "p_partkey")
