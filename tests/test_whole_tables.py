@@ -12,6 +12,13 @@ def test_words_beyond_a_prefix(spark, tmp_path):
     assert {(r.doc_id, r.w): r.n for r in QUERIES["unnest_all_words"](spark, str(tmp_path)).collect()} == want
 
 
+def test_both_sides_of_except_all(spark, tmp_path):
+    rows = [(k, k % 7 if k % 11 else None, "purchase" if k % 3 == 0 else "view") for k in range(1200)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    want = Counter(u for _, u, _ in rows) - Counter(u for _, u, kind in rows if kind == "purchase")
+    assert Counter(r.user_id for r in QUERIES["set_ops_all_events"](spark, str(tmp_path)).collect()) == want
+
+
 def test_every_part_is_in_the_range_join(spark, tmp_path):
     events = [(k, k * 0.37) for k in range(200)]
     parts = [(k, k * 17.0, 1 + k % 50) for k in range(1, 41)]

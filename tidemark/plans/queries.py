@@ -399,6 +399,7 @@ passed("theta_join", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation
 passed("set_ops", """(SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'error') UNION (SELECT o_custkey FROM orders EXCEPT SELECT user_id FROM events)""",
        """(SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'error') UNION (SELECT o_custkey AS user_id FROM orders EXCEPT SELECT user_id FROM events)""")
 passed("set_ops_all", "SELECT event_type FROM events WHERE event_id < 500 EXCEPT ALL SELECT event_type FROM events WHERE event_id < 250")
+passed("set_ops_all_events", "SELECT user_id FROM events EXCEPT ALL SELECT user_id FROM events WHERE event_type = 'purchase'")
 passed("topk_per_user", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k <= 3")
 passed("top_orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")
 passed("correlated_subquery", "SELECT c_custkey, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS newest FROM customer")
