@@ -1,7 +1,10 @@
 """Parts of the operators' jobs that results on the generated tables do not show."""
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from tidemark.llm import quality_rules
+from tests.llm.test_packing import check
+from tidemark.llm import queries, quality_rules, tokens
 
 
 def test_frequent_lines_leave_the_text(spark):
@@ -16,3 +19,18 @@ def test_frequent_lines_leave_the_text(spark):
     assert sorted((r.doc_id, r.text, r.source) for r in got.collect()) == sorted(want)
     got = corpus_pipeline.rules(spark, docs, "")
     assert sorted((r.doc_id, r.text, r.source, r.n_chars) for r in got.collect()) == sorted((*w, len(w[1])) for w in want)
+
+
+def test_ids_are_the_library_s_as_loaded(spark, tmp_path):
+    library = Tokenizer.from_file(tokens.default_path())
+    end = "<|endoftext|>"
+    texts = [None, "", "a <|endoftext|> b", end, f"{end}{end} x{end}", "<|endoftext|", f" {end}\n\n  {end}  'll", "plain"]
+    ids = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [tokens.encode(t, tokens.default_path(), True) for t in texts] == ids and ids[2] == [64, 220, 50256, 275]
+    docs = spark.createDataFrame([(k, t, "s", "en") for k, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(k, x + [2]) for k, x in enumerate(ids)]
+    check(queries.op3_packing(spark, str(tmp_path)).collect(), rows, 1024)
+    check(corpus_pipeline.packed(spark, docs, "").collect(), rows, 1024)
+    assert [(r.n_docs, r.n_tokens) for r in queries.op1_token_counts(spark, str(tmp_path)).collect()] == [(len(texts), sum(map(len, ids)))]

@@ -91,13 +91,13 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return slots
 
 
-def _cut(path: str, capacity: int, end: int, with_ids: bool):
+def _cut(path: str, capacity: int, end: int, with_ids: bool, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
                 row, out, ids = [], [], []
                 for k, text in enumerate(part.column(2)):
-                    tokens = encode(text.as_py(), path)
+                    tokens = encode(text.as_py(), path, added)
                     tokens.append(end)
                     for n, (start, length) in enumerate(pieces_of(len(tokens), capacity)):
                         own = tokens[start : start + length]
@@ -139,18 +139,18 @@ def _placed(slots: list[tuple[int, int, int, int, int, int]]):
 
 def pack(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None,
-    capacity: int = CAPACITY, end: int = END, with_ids: bool = False, bucket: int = BUCKET,
+    capacity: int = CAPACITY, end: int = END, with_ids: bool = False, bucket: int = BUCKET, added: bool = False,
 ) -> DataFrame:
     """A row per piece: where it is in its document, and its sequence and offset there.
 
     ``with_ids`` adds the piece's token ids as ``ids``. ``tokenizer`` is the path of a
-    byte-level BPE file that every executor can read.
+    byte-level BPE file that every executor can read; ``added``: its added tokens in a text are their ids.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(doc_id).alias("id"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
     kind = keyed.schema["id"].dataType.simpleString()
     schema = f"id {kind}, text_hash long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    pieces = materialize(keyed.mapInArrow(_cut(tokenizer or default_path(), capacity, end, with_ids), schema), "pieces")
+    pieces = materialize(keyed.mapInArrow(_cut(tokenizer or default_path(), capacity, end, with_ids, added), schema), "pieces")
     n = pieces.count()
     spread = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "text_hash", "piece"), F.lit(max(1, -(-n // bucket)))))
     counts = spread.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))

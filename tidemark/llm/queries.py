@@ -14,7 +14,7 @@ from tidemark.sources.scratch import scratch_path
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents inserted, those labelled bad deleted again; the second sending of a batch changes nothing."""
-    counts = materialize(token_counts.count_tokens(table(spark, sf_dir, "documents")), "token-counts")
+    counts = materialize(token_counts.count_tokens(table(spark, sf_dir, "documents"), added=True), "token-counts")
     bad = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("id")).distinct()
     rollup = token_counts.Rollup(spark, scratch_path(spark, "rollup"))
     for _ in range(2):
@@ -34,7 +34,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), added=True)
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:

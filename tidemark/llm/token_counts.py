@@ -35,29 +35,30 @@ GROUP = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens", "n_bytes")
 
 
-def _counted(path: str):
+def _counted(path: str, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(3)
-            tokens = [len(encode(t.as_py(), path)) for t in texts]
+            tokens = [len(encode(t.as_py(), path, added)) for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(tokens, pa.int64()), b.column(4)], ["id", "source", "lang", "n_tokens", "n_bytes"])
 
     return run
 
 
 def count_tokens(
-    docs: DataFrame, version: str = "byte_bpe_50k", tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang"
+    docs: DataFrame, version: str = "byte_bpe_50k", tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", added: bool = False
 ) -> DataFrame:
     """Each row's (id, source, lang, tokenizer, n_tokens, n_bytes), with no special tokens.
 
-    ``tokenizer`` is the path of a byte-level BPE file, ``version`` the name its counts go by.
+    ``tokenizer`` is the path of a byte-level BPE file, ``version`` the name its counts go by;
+    ``added``: its added tokens in a text are one token each.
     """
     rows = docs.select(
         F.col(doc_id).alias("id"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"),
         F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
     )
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(_counted(tokenizer or default_path()), f"id {kind}, source string, lang string, n_tokens long, n_bytes long")
+    found = rows.mapInArrow(_counted(tokenizer or default_path(), added), f"id {kind}, source string, lang string, n_tokens long, n_bytes long")
     return found.withColumn("tokenizer", F.lit(version))
 
 
