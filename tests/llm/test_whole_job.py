@@ -4,7 +4,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_packing import check
-from tidemark.llm import queries, quality_rules, tokens
+from tidemark.llm import queries, quality_rules, simhash, tokens
 
 
 def test_frequent_lines_leave_the_text(spark):
@@ -34,3 +34,15 @@ def test_ids_are_the_library_s_as_loaded(spark, tmp_path):
     check(queries.op3_packing(spark, str(tmp_path)).collect(), rows, 1024)
     check(corpus_pipeline.packed(spark, docs, "").collect(), rows, 1024)
     assert [(r.n_docs, r.n_tokens) for r in queries.op1_token_counts(spark, str(tmp_path)).collect()] == [(len(texts), sum(map(len, ids)))]
+
+
+def test_one_row_of_each_component(spark):
+    text = "one two three four five six seven eight nine ten"
+    alone, other = "alone with no id at all", "zebra crossing " * 30
+    rows = [(7, text, 1), (7, text.upper(), 2), (7, text, 3), (8, text, 4), (None, text, 5), (None, alone, 6), (None, alone, 7), (None, alone.upper(), 8), (9, other, 9), (9, other, 10), (3, None, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    for kept in (simhash.keep_single(docs), corpus_pipeline.near_dedup(spark, docs, "")):
+        assert kept.columns == docs.columns
+        got = [(r.doc_id, (r.text or "").lower()) for r in kept.collect()]
+        assert sorted(got, key=str) == sorted([(7, text), (None, alone), (9, other), (3, "")], key=str)
+    assert simhash.keep_single(docs.limit(0)).collect() == []

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.sql import unique
 from tidemark.llm.components import components
 from tidemark.llm.shared import materialize
 
@@ -169,7 +170,7 @@ def _classed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     roots = fingerprint_classes(nodes.select("fp"))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = materialize(rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")), "component-ids")
-    named = rooted.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("of_fp"), "component_id")
+    named = rooted.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("of_fp"), "root", "component_id")
     return rows.join(named, F.col("fp") == F.col("of_fp"))
 
 
@@ -181,3 +182,24 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     )
     body = F.xxhash64(F.coalesce(docs[text], F.lit("")))
     return docs.join(gone, docs[doc_id].eqNullSafe(gone["gone_id"]) & (body == gone["gone_hash"]), "left_anti")
+
+
+def keep_single(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component of ``docs``: the least id, of its texts one, of equal rows one.
+
+    Components whose ids are all null keep one row as well.
+    """
+    same = F.col("id").eqNullSafe(F.col("component_id"))
+    keys = materialize(_classed(docs, doc_id, text).groupBy("root", "component_id", "id", "text_hash").agg(F.count(F.lit(1)).alias("n")), "keys")
+    own = keys.where(same)
+    least = own.groupBy(F.col("root").alias("of_root")).agg(F.min("text_hash").alias("least"))
+    chosen = own.join(least, (F.col("root") == F.col("of_root")) & (F.col("text_hash") == F.col("least"))).select(
+        F.col("id").alias("c_id"), F.col("text_hash").alias("c_hash"), "n"
+    )
+    chosen = materialize(chosen, "chosen")
+    body = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    at = docs[doc_id].eqNullSafe(F.col("c_id")) & (body == F.col("c_hash"))
+    # Only rows that repeat an id and text go through the shuffle of the second part.
+    once = docs.join(chosen.where("n = 1"), at, "left_semi")
+    again = docs.join(chosen.where("n > 1"), at, "left_semi").withColumn(h := unique("hash"), body)
+    return once.unionByName(again.dropDuplicates([doc_id, h]).drop(h))
