@@ -4,7 +4,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_packing import check
-from tidemark.llm import queries, quality_rules, simhash, tokens
+from tidemark.llm import html_extract, queries, quality_rules, simhash, tokens
 
 
 def test_frequent_lines_leave_the_text(spark):
@@ -46,3 +46,15 @@ def test_one_row_of_each_component(spark):
         got = [(r.doc_id, (r.text or "").lower()) for r in kept.collect()]
         assert sorted(got, key=str) == sorted([(7, text), (None, alone), (9, other), (3, "")], key=str)
     assert simhash.keep_single(docs.limit(0)).collect() == []
+
+
+def test_root_holds_every_slot(spark):
+    words = lambda k, n: " ".join(f"{chr(97 + k)}word{i}" for i in range(n))
+    frame = "<html><body><div class=top>My site of many things</div>{}<div class=foot>Call us any time</div></body></html>"
+    lead = lambda k: frame.format(f"<div class=post><h1>Title {k}</h1><div class=lead>{words(k, 20)}</div><div class=body><p>{words(k, 80)}</p></div></div>")
+    split = lambda k: frame.format(f"<section class=a><p>{words(k, 60)}</p></section><section class=b><p>{words(k, 40)}</p></section>")
+    rows = [(k, "http://lead.example/", lead(k)) for k in range(12)] + [(100 + k, "http://split.example/", split(k)) for k in range(12)]
+    text = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        assert text[k] == f"Title {k}\n{words(k, 20)}\n{words(k, 80)}"
+        assert text[100 + k] == f"{words(k, 60)}\n{words(k, 40)}"

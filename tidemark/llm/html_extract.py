@@ -6,8 +6,8 @@ article, the entries of a menu) folded into one node that may repeat. Skeletons
 simple tree matching (the largest set of matching nodes that keeps order and
 ancestry) and merged into the host's wrapper. A node whose text is the same on every page is
 template, a node whose text varies is a slot. The wrapper's content root is the
-deepest node, or the article or main element, that holds most of the text
-in slots outside of links and boilerplate. A page is aligned with its host's wrapper once more,
+article or main element that holds most of the text in slots outside of links and
+boilerplate, or else the deepest node that holds all of it. A page is aligned with its host's wrapper once more,
 and its main text is what is under its content root, without boilerplate elements
 and template nodes.
 
@@ -40,7 +40,7 @@ from tidemark.llm.html_tree import Node, blocks, parse
 from tidemark.llm.shared import materialize
 
 MIN_PAGES = 8
-#: Share of the slots' text that the content root has to hold.
+#: Share of the slots' text that an article or main element has to hold to be the content root.
 ROOT_SHARE = 0.5
 NODES = 200
 #: Share of matching nodes that makes neighbours alike, and children that are folded by label if more.
@@ -198,18 +198,20 @@ def rules(wrapper: Skel, pages: list[int]) -> dict:
         template = False
         total = _mass(wrapper, False)
     path, node, named = [], wrapper, None
+    whole = path, node
     while total and node.children:
         k = max(range(len(node.children)), key=lambda k: _mass(node.children[k], template))
         best = node.children[k]
         if best.many or _mass(best, template) < ROOT_SHARE * total or re.match(r"(p|pre|td|li|h[1-6])\b", best.label):
             break
         path, node = [*path, k], best
+        if _mass(best, template) == total:
+            whole = path, node
         if re.match(r"(article|main)\b|.*@main\b", best.label):
             named = list(path), best
             if best.label.startswith("article"):
                 break
-    if named:
-        path, node = named
+    path, node = named or whole
 
     def marked(x: Skel, inside: bool) -> list:
         same = x.value is not None and not x.many and not x.children and x.chars + x.links > 0
