@@ -23,7 +23,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = repeats.remove_repeats(docs)
+    cut = repeats.remove_repeats(docs, threshold=repeats.PASSAGE_WORDS, unit="words")
     return cut.withColumn("n_chars", F.char_length("text").cast("long"))
 
 

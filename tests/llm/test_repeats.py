@@ -64,3 +64,60 @@ def test_long_text_over_chunks(spark, monkeypatch):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert repeats.repeats(docs).collect() == []
+
+
+def covered(rows, threshold):
+    """Of each text the words in windows that also start elsewhere, as (place, flag) by brute force."""
+    words = [t.encode().split() for _, t in rows]
+    seen = Counter(tuple(w[i : i + threshold]) for w in words for i in range(len(w) - threshold + 1))
+    out = []
+    for w in words:
+        gone = [False] * len(w)
+        for i in range(len(w) - threshold + 1):
+            if seen[tuple(w[i : i + threshold])] > 1:
+                gone[i : i + threshold] = [True] * threshold
+        out.append((w, gone))
+    return out
+
+
+def word_rows():
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choice(["le ", "la\n", "été ", "x\t\t", "qui  "]) for _ in range(n))
+    shared = some(90)
+    part = shared.split()
+    rows = [(i, some(rng.randrange(0, 40)) + " ".join(part[rng.randrange(0, 20) : rng.randrange(60, 90)]) + " " + some(rng.randrange(0, 40))) for i in range(30)]
+    rows += [(40, some(9) + " ".join(part[:49])), (41, "a " * 300), (42, None), (43, ""), (None, rows[0][1]), (44, some(200)), (44, some(200)), (45, rows[2][1]), (45, rows[2][1])]
+    return rows
+
+
+@pytest.mark.parametrize("local", [1, 256])
+def test_words_match_brute_force(spark, local):
+    rows = word_rows()
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, passages int")
+    want = covered([(d, t or "") for d, t in rows], 50)
+    got = repeats.repeats(docs, local=local, passage_words=50).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_passage_words) for r in got) == sorted((str(d), len((t or "").encode()), sum(g)) for (d, t), (_, g) in zip(rows, want))
+    kept = repeats.remove_repeats(docs, local=local, threshold=50, unit="words")
+    assert kept.columns == docs.columns
+    rest = sorted((str(d), [x for x, gone in zip(*w) if not gone]) for (d, _), w in zip(rows, want))
+    got = kept.collect()
+    assert sorted((str(r.doc_id), (r.text or "").encode().split()) for r in got) == rest
+    assert [r.doc_id for r in got if r.text is None] == [42]
+
+
+def test_passages_of_the_generated_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    want = {r.doc_id: sum(g) for r, (_, g) in zip(rows, covered([(r.doc_id, r.text or "") for r in rows], 50))}
+    assert {r.doc_id: r.n_passage_words for r in repeats.repeats(docs, passage_words=50).collect()} == want
+
+
+def test_scratch_is_freed(spark, tmp_path, monkeypatch):
+    import os
+
+    from tidemark.sources import scratch
+
+    monkeypatch.setattr(scratch, "scratch_root", lambda _: f"file://{tmp_path}")
+    docs = spark.createDataFrame(word_rows(), "doc_id long, text string")
+    assert repeats.repeats(docs).count() == 39
+    assert [n.split("-")[0] for n in os.listdir(tmp_path)] == ["spans"]

@@ -50,7 +50,8 @@ def op6_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeats(table(spark, sf_dir, "documents"))
+    """The contract's 400 bytes, and beside them how many words of each text are in repeated passages of 50 words."""
+    return repeats.repeats(table(spark, sf_dir, "documents"), passage_words=repeats.PASSAGE_WORDS)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,28 +1,32 @@
-"""Repeated windows of bytes by a depth-limited radix sort of suffixes.
+"""Repeated windows of bytes or words by a depth-limited radix sort of suffixes.
 
-Suffixes are ordered only through the threshold, 400 bytes, by passes that start
-at the most significant digit and keep only groups of two or more; what is
-equal after the last pass are exactly the repeated windows. The order inside
-a pass is that of the digits' hashes, since only equality matters.
+Suffixes are ordered only through the threshold, by passes that start at the most
+significant digit and keep only groups of two or more; what is equal after the last pass
+are exactly the repeated windows. The order inside a pass is that of the digits'
+hashes, since only equality matters. Symbols are bytes (400 by default) or words
+(``unit="words"``: runs without ASCII white space, compared by 64-bit hashes).
 
 Sorting every suffix even once would shuffle many times the input. The first
 digit is therefore read at a suffix that all copies of a window agree on: of the
-200-byte grams inside the window, the leftmost with the least hash (its
+grams of half the threshold inside the window, the leftmost with the least hash (its
 synchronising suffix). A window can only repeat if its synchronising suffix's
-first 200 bytes do, and one such suffix serves about a hundred neighbouring windows.
+first half does, and one such suffix serves about a quarter of a threshold of neighbouring
+windows. No window is left out: each has one such suffix, and equal windows have it at the same place.
 
-1. First digit: synchronising suffixes are counted by their 200 bytes; single ones go.
-2. Next digit: the whole stretch that a suffix serves (up to 600 bytes). Equal
+1. First digit: synchronising suffixes are counted by their gram; single ones go.
+2. Next digit: the whole stretch that a suffix serves (up to one and a half thresholds). Equal
    stretches repeat in full. One of each class goes on if its group has other classes.
-3. Last digit: windows of the suffixes that go on, at equal distance from equal
-   grams, are compared on all 400 bytes. A group of up to ``LOCAL`` stretches is
-   compared inside one task; larger ones are counted window by window, combined
-   before the shuffle, so that a passage found in a third of all documents
+3. Last digits: windows of the suffixes that go on, at equal distance from equal
+   grams, are compared on all symbols. A group of up to ``LOCAL`` stretches is
+   compared inside one task. Larger ones get a digit more, the part that an eighth
+   of a stretch's windows have in common, and only what repeats in that is counted window by window,
+   combined before the shuffle, so that a passage found in a third of all documents
    is never gathered in one place.
 
 Hashes are 64 bits on top of the 64 of the first digit, 128 bits for windows.
+What is written on the way is deleted once the spans are.
 
-Cases. Null is an empty text. Texts under 400 bytes keep all. Equal rows are
+Cases. Null is an empty text. Texts under the threshold keep all. Equal rows are
 copies like any other; rows that share an id are told apart by their text.
 Other columns are ignored by :func:`repeats`, kept by :func:`remove_repeats`.
 """
@@ -30,6 +34,7 @@ Other columns are ignored by :func:`repeats`, kept by :func:`remove_repeats`.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +43,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import Written, materialize
 
 THRESHOLD = 400
+#: Words of a passage: what the pipeline takes for repeated.
+PASSAGE_WORDS = 50
 LOCAL = 4096
+#: Parts of a stretch's windows that large groups are split by.
+PARTS = 8
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _CHUNK = 1 << 20
@@ -59,6 +68,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 _VALUES = _mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -72,21 +82,35 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def sync_points(data: bytes, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def symbols(text: str | None, unit: str) -> np.ndarray:
+    """A text's bytes, or the hashes of its words."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    if unit == "bytes":
+        return np.frombuffer(data, np.uint8)
+    words = data.split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _valued(x: np.ndarray) -> np.ndarray:
+    return _VALUES[x] if x.dtype == np.uint8 else x
+
+
+def sync_points(data: bytes | np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(at, lo, hi, gram): suffix ``at`` serves the windows that start in lo..hi.
 
-    ``gram`` is the hash of the first half-threshold bytes of the suffix. Long texts go in
-    overlapping chunks; where a suffix serves depends only on the bytes of the window.
+    ``gram`` is the hash of the first half-threshold symbols of the suffix. Long texts go in
+    overlapping chunks; where a suffix serves depends only on the symbols of the window.
     """
+    data = data if isinstance(data, np.ndarray) else np.frombuffer(data, np.uint8)
     gram = threshold // 2
     span = threshold - gram + 1
     parts = []
     for start in range(0, len(data) - threshold + 1, _CHUNK):
-        x = np.frombuffer(data, np.uint8)[start : start + _CHUNK + threshold - 1]
+        x = data[start : start + _CHUNK + threshold - 1]
         n = len(x)
         power, inverse = _tables(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[x] * power[:n], out=sums[1:])
+        np.cumsum(_valued(x) * power[:n], out=sums[1:])
         h = _mix((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
         key = (h & ~_U(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
         rows = np.concatenate([key, np.full(-len(key) % span, ~_U(0))]).reshape(-1, span)
@@ -119,18 +143,19 @@ def _runs(at: np.ndarray, before: np.ndarray, after: np.ndarray, gram: np.ndarra
     return at[kept], before[kept], after[kept], gram[kept], ext[kept]
 
 
-def _suffixes(threshold: int):
+def _suffixes(threshold: int, unit: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             row = []
             for k, text in enumerate(b.column(2)):
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                data = symbols(text.as_py(), unit)
                 if len(data) < threshold:
                     continue
                 at, lo, hi, gram = sync_points(data, threshold)
+                raw, size = memoryview(data).cast("B"), data.itemsize
                 ext = [
-                    xxhash.xxh3_64_intdigest(data[p : q + threshold], a - p)
+                    xxhash.xxh3_64_intdigest(raw[p * size : (q + threshold) * size], a - p)
                     for a, p, q in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True)
                 ]
                 found = _runs(at, at - lo, at - hi, gram.view(np.int64), np.array(ext, np.uint64).view(np.int64))
@@ -154,8 +179,8 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("id"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
 
 
-def _stretches(threshold: int):
-    """Of each document with suffixes that go on: the bytes around each."""
+def _stretches(threshold: int, unit: str):
+    """Of each document with suffixes that go on: the symbols around each."""
     gram = threshold // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,12 +188,13 @@ def _stretches(threshold: int):
             for part in (b.slice(i, 64) for i in range(0, b.num_rows, 64)):
                 kept, rows, data = [], [], []
                 for k, (text, todo) in enumerate(zip(part.column(2), part.column(3), strict=True)):
-                    whole = text.as_py().encode("utf-8", "surrogatepass")
+                    whole = symbols(text.as_py(), unit)
+                    size = whole.itemsize
                     for x in todo.as_py():
                         at = x["at"]
                         left = whole[max(0, at - gram) : at]
                         right = whole[at : at + threshold]
-                        data.append(left.rjust(gram, b"\0") + right.ljust(threshold, b"\0"))
+                        data.append(left.tobytes().rjust(gram * size, b"\0") + right.tobytes().ljust(threshold * size, b"\0"))
                         kept.append((x["gram"], x["classes"], at, len(left), len(right)))
                         rows.append(k)
                 if rows:
@@ -182,20 +208,33 @@ def _stretches(threshold: int):
     return run
 
 
+def _sums(data: list[bytes], threshold: int) -> list[np.ndarray]:
+    """Prefix sums of stretches' symbols, for two hashes."""
+    wide = threshold // 2 + threshold
+    x = np.frombuffer(b"".join(data), np.uint8 if len(data[0]) == wide else np.uint64).reshape(len(data), wide)
+    out = []
+    for base in _BASES:
+        sums = np.zeros((len(x), wide + 1), np.uint64)
+        np.cumsum(_valued(x) * _powers(base, wide)[None, :], axis=1, out=sums[:, 1:])
+        out.append(sums)
+    return out
+
+
 def window_hashes(data: list[bytes], left: np.ndarray, right: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two hashes of each stretch's windows by distance before the gram, and which exist."""
     gram = threshold // 2
-    x = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), gram + threshold)
-    found = []
-    for base in _BASES:
-        sums = np.zeros((len(x), x.shape[1] + 1), np.uint64)
-        np.cumsum(_VALUES[x] * _powers(base, x.shape[1])[None, :], axis=1, out=sums[:, 1:])
-        # A window's hash only meets others at the same distance, so it needs no scaling by its place.
-        found.append(_mix(sums[:, threshold:] - sums[:, : gram + 1])[:, ::-1])
+    # A window's hash only meets others at the same distance, so it needs no scaling by its place.
+    found = [_mix(sums[:, threshold:] - sums[:, : gram + 1])[:, ::-1] for sums in _sums(data, threshold)]
     back = np.arange(gram + 1)[None, :]
     return found[0], found[1], (back <= left[:, None]) & (threshold - back <= right[:, None])
 
 
+def _parts(threshold: int) -> list[tuple[int, int]]:
+    """First and last distance of each part of a stretch's windows."""
+    cuts = [threshold // 2 * k // PARTS for k in range(PARTS)]
+    return [(a, z - 1) for a, z in zip(cuts, [*cuts[1:], threshold // 2 + 1], strict=True) if a < z]
+
+
 def _spans(at: int, back: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Byte spans of the windows that start ``back`` before ``at``."""
     starts = np.sort(at - back)
@@ -255,15 +294,41 @@ def _compared(threshold: int):
     return run
 
 
+def _digits(threshold: int):
+    """A row for each part of the windows of large groups' stretches: a hash of what the part's windows share."""
+    gram = threshold // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows in (b.slice(i, 1024) for i in range(0, b.num_rows, 1024)):
+                ids, hashes, key, at, left, right, data = rows.columns
+                before, after = left.to_numpy(), right.to_numpy()
+                sums = _sums(data.to_pylist(), threshold)[0]
+                for k, (first, last) in enumerate(_parts(threshold)):
+                    there = np.maximum(first, threshold - after) <= np.minimum(last, before)
+                    digit = _mix(sums[:, gram + threshold - last] - sums[:, gram - first])
+                    take = pa.array(np.flatnonzero(there))
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(take), hashes.take(take), key.take(take), at.take(take),
+                         pa.array(np.full(len(take), k, np.int32)), pa.array(digit.view(np.int64)).take(take)],
+                        ["id", "text_hash", "gram", "at", "part", "digit"],
+                    )
+
+    return run
+
+
 def _windows(threshold: int):
-    """A row for each window of the stretches of large groups."""
+    """A row for each window of a part of a stretch."""
+    parts = np.array(_parts(threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                ids, hashes, gram, at, left, right, data = part.columns
+            for rows in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+                ids, hashes, gram, at, left, right, data, part = rows.columns
                 one, two, there = window_hashes(data.to_pylist(), left.to_numpy(), right.to_numpy(), threshold)
-                row, back = np.nonzero(there)
+                first, last = parts[part.to_numpy()].T
+                back = np.arange(there.shape[1])[None, :]
+                row, back = np.nonzero(there & (back >= first[:, None]) & (back <= last[:, None]))
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(take), hashes.take(take), gram.take(take), pa.array(back.astype(np.int32)),
@@ -274,25 +339,32 @@ def _windows(threshold: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, local: int = LOCAL) -> DataFrame:
-    """(id, text_hash, start, stop) of byte spans covered by repeated windows; they may overlap."""
+def _again(rows: DataFrame, key: list[str], written: Written, label: str) -> DataFrame:
+    """The rows whose key is found twice or more."""
+    twice = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(c).alias(f"o_{c}") for c in key])
+    # Written first: a join of two plain exchanges is one that adaptive execution can split.
+    twice = written.table(twice, label)
+    return rows.join(twice, [F.col(c) == F.col(f"o_{c}") for c in key]).drop(*twice.columns)
+
+
+def repeated_spans(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, local: int = LOCAL, unit: str = "bytes"
+) -> DataFrame:
+    """(id, text_hash, start, stop) of spans covered by repeated windows, in symbols; they may overlap."""
+    written = Written(docs.sparkSession)
     keyed = _keyed(docs, doc_id, text)
     kind = keyed.schema["id"].dataType.simpleString()
-    suffixes = materialize(
-        keyed.mapInArrow(_suffixes(threshold), f"id {kind}, text_hash long, at long, before int, after int, gram long, ext long"), "suffixes"
+    suffixes = written.table(
+        keyed.mapInArrow(_suffixes(threshold, unit), f"id {kind}, text_hash long, at long, before int, after int, gram long, ext long"), "suffixes"
     )
     # First digit.
-    grams = suffixes.groupBy(F.col("gram").alias("of_gram")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("of_gram")
-    # Written first, here and below: a join of two plain exchanges is one that adaptive execution can split.
-    grams = materialize(grams, "grams")
-    alive = suffixes.join(grams, F.col("gram") == F.col("of_gram")).drop("of_gram")
-    alive = materialize(alive.withColumn("tag", F.xxhash64("id", "text_hash", "at")), "suffixes-repeated")
+    alive = written.table(_again(suffixes, ["gram"], written, "grams").withColumn("tag", F.xxhash64("id", "text_hash", "at")), "suffixes-repeated")
     # Second digit.
     classes = alive.groupBy(F.col("gram").alias("c_gram"), F.col("ext").alias("c_ext")).agg(
         F.count(F.lit(1)).alias("n"), F.min("tag").alias("speaker")
     )
-    classes = materialize(classes, "classes")
-    sizes = materialize(
+    classes = written.table(classes, "classes")
+    sizes = written.table(
         classes.groupBy(F.col("c_gram").alias("s_gram")).agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"), "class-counts"
     )
     judged = (
@@ -303,35 +375,40 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .where(F.col("whole") | F.col("on"))
         .select("id", "text_hash", "gram", "classes", "at", "before", "after", "whole", "on")
     )
-    judged = materialize(judged, "suffixes-judged")
+    judged = written.table(judged, "suffixes-judged")
     spans = judged.where("whole").select(
         "id", "text_hash", (F.col("at") - F.col("before")).alias("start"), (F.col("at") - F.col("after") + threshold).alias("stop")
     )
-    # Last digit.
+    # Last digits.
     todo = (
         judged.where(F.col("on")).groupBy(F.col("id").alias("t_id"), F.col("text_hash").alias("t_hash"))
         .agg(F.collect_set(F.struct("gram", "classes", "at")).alias("todo"))
     )
     texts = keyed.join(todo, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("text_hash") == F.col("t_hash")))
-    stretches = materialize(
+    stretches = written.table(
         texts.select("id", "text_hash", "text", "todo").mapInArrow(
-            _stretches(threshold), f"id {kind}, text_hash long, gram long, classes long, at long, left long, right long, bytes binary"
+            _stretches(threshold, unit), f"id {kind}, text_hash long, gram long, classes long, at long, left long, right long, bytes binary"
         ).dropDuplicates(["id", "text_hash", "at"]), "stretches",
     )
     columns = ["id", "text_hash", "gram", "at", "left", "right", "bytes"]
     found = f"id {kind}, text_hash long, start long, stop long"
     few = stretches.where(F.col("classes") <= local).select(columns).repartition("gram").sortWithinPartitions("gram")
     near = few.mapInArrow(_compared(threshold), found)
-    many = stretches.where(F.col("classes") > local).select(columns).mapInArrow(
-        _windows(threshold), f"id {kind}, text_hash long, gram long, back int, start long, w1 long, w2 long"
+    many = stretches.where(F.col("classes") > local).select(columns)
+    digits = written.table(many.mapInArrow(_digits(threshold), f"id {kind}, text_hash long, gram long, at long, part int, digit long"), "digits")
+    on = _again(digits, ["gram", "part", "digit"], written, "digits-repeated").select(
+        F.col("id").alias("d_id"), F.col("text_hash").alias("d_hash"), F.col("at").alias("d_at"), "part"
+    )
+    parts = many.join(on, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("text_hash") == F.col("d_hash")) & (F.col("at") == F.col("d_at")))
+    windows = written.table(
+        parts.select(*columns, "part").mapInArrow(_windows(threshold), f"id {kind}, text_hash long, gram long, back int, start long, w1 long, w2 long"), "windows"
     )
-    key = ["gram", "back", "w1", "w2"]
-    twice = many.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(c).alias(f"o_{c}") for c in key])
-    twice = materialize(twice, "windows-repeated")
-    wide = many.join(twice, [F.col(c) == F.col(f"o_{c}") for c in key]).select(
+    wide = _again(windows, ["gram", "back", "w1", "w2"], written, "windows-repeated").select(
         "id", "text_hash", "start", (F.col("start") + threshold).alias("stop")
     )
-    return spans.unionByName(near).unionByName(wide)
+    out = materialize(spans.unionByName(near).unionByName(wide), "spans")
+    written.drop()
+    return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -355,51 +432,84 @@ def _cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), sum(q - p for p, q in runs), len(runs)
 
 
-def _with_spans(docs: DataFrame, doc_id: str, text: str, threshold: int, local: int) -> DataFrame:
-    """(row, text, spans) with the spans of each document as an array or null."""
-    spans = repeated_spans(docs, doc_id, text, threshold, local)
-    lists = spans.groupBy(F.col("id").alias("s_id"), F.col("text_hash").alias("s_hash")).agg(
-        F.collect_set(F.struct("start", "stop")).alias("spans")
+def _in_bytes(data: bytes, spans: list[tuple[int, int]], unit: str) -> list[tuple[int, int]]:
+    """Spans of words as bytes, the white space after each word included."""
+    if unit == "bytes" or not spans:
+        return spans
+    at = [m.span() for m in _WORD.finditer(data)]
+    return [(at[p][0], at[q - 1][1]) for p, q in spans]
+
+
+def _with_spans(docs: DataFrame, doc_id: str, text: str, **spans: DataFrame) -> DataFrame:
+    """(row, id, text and an array or null for each table of spans) of each document."""
+    tables = [t.withColumn("of", F.lit(name)) for name, t in spans.items()]
+    whole = tables[0]
+    for t in tables[1:]:
+        whole = whole.unionByName(t)
+    lists = whole.groupBy(F.col("id").alias("s_id"), F.col("text_hash").alias("s_hash")).agg(
+        *(F.collect_set(F.when(F.col("of") == name, F.struct("start", "stop"))).alias(name) for name in spans)
     )
     body = F.coalesce(docs[text], F.lit(""))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].alias("id"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
     return rows.join(lists, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("text_hash") == F.col("s_hash")), "left")
 
 
-def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for text, spans in zip(b.column(1), b.column(2), strict=True):
-            data = text.as_py().encode("utf-8", "surrogatepass")
-            left, n, runs = _cut(data, [(x["start"], x["stop"]) for x in spans.as_py() or ()])
-            rows.append((len(data), n, runs, hashlib.sha256(left).hexdigest()))
-        a, n, r, h = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(h, pa.string())],
-            ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-        )
+def _pairs(spans) -> list[tuple[int, int]]:
+    return [(x["start"], x["stop"]) for x in spans if x] if spans is not None else []
+
+
+def _report(unit: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for text, spans, passages in zip(*b.columns[1:], strict=True):
+                data = text.as_py().encode("utf-8", "surrogatepass")
+                left, n, runs = _cut(data, _in_bytes(data, _pairs(spans.as_py()), unit))
+                words = sum(q - p for p, q in merged(_pairs(passages.as_py())))
+                rows.append((len(data), n, runs, hashlib.sha256(left).hexdigest(), words))
+            a, n, r, h, w = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(h, pa.string()), pa.array(w, pa.int64())],
+                ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"],
+            )
 
+    return run
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, local: int = LOCAL) -> DataFrame:
-    """Each row's id, its bytes, the bytes and runs removed, and a digest of the rest."""
+
+def repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, local: int = LOCAL, unit: str = "bytes",
+    passage_words: int | None = None,
+) -> DataFrame:
+    """Each row's id, its bytes, the bytes and runs removed, and a digest of the rest.
+
+    With ``passage_words`` also ``n_passage_words``, the words of the text inside windows of
+    so many words that also start elsewhere; they are reported and not removed.
+    """
     only = docs.select(doc_id, text)
-    rows = _with_spans(only, doc_id, text, threshold, local).select("id", "text", "spans")
+    spans = repeated_spans(only, doc_id, text, threshold, local, unit)
+    more = repeated_spans(only, doc_id, text, passage_words, local, "words") if passage_words else spans.limit(0)
+    rows = _with_spans(only, doc_id, text, spans=spans, passages=more).select("id", "text", "spans", "passages")
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(_report, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.withColumnRenamed("id", doc_id)
+    out = rows.mapInArrow(_report(unit), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long")
+    return (out if passage_words else out.drop("n_passage_words")).withColumnRenamed("id", doc_id)
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, local: int = LOCAL) -> DataFrame:
-    """``docs`` with repeated bytes taken out of its text.
+def remove_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, local: int = LOCAL, unit: str = "bytes"
+) -> DataFrame:
+    """``docs`` with repeated bytes or words taken out of its text, words with the white space after them.
 
     A character that a removed run splits goes with it; a null text stays null.
     """
 
     @F.pandas_udf("string")
     def cut(texts, spans):
-        return texts.combine(spans, lambda t, s: t if s is None else _cut(
-            t.encode("utf-8", "surrogatepass"), [(x["start"], x["stop"]) for x in s])[0].decode("utf-8", "ignore"))
+        def left(t: str, s) -> str:
+            data = t.encode("utf-8", "surrogatepass")
+            return _cut(data, _in_bytes(data, _pairs(s), unit))[0].decode("utf-8", "ignore")
+
+        return texts.combine(spans, lambda t, s: t if s is None else left(t, s))
 
-    rows = _with_spans(docs, doc_id, text, threshold, local)
+    rows = _with_spans(docs, doc_id, text, spans=repeated_spans(docs, doc_id, text, threshold, local, unit))
     left = F.when(F.col("row")[text].isNull(), F.lit(None).cast("string")).otherwise(F.col("left"))
     return rows.withColumn("left", cut("text", "spans")).withColumn("row", F.col("row").withField(text, left)).select("row.*")

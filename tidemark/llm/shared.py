@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.scratch import scratch_path
+from tidemark.sources.scratch import remove_tree, scratch_path
 
 #: White space of the word patterns: space, tab, \n, \v, \f, \r.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -23,6 +23,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(uri)
 
 
+class Written:
+    """Tables on the way to a result, deleted together once that is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.uris = spark, []
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        """As :func:`materialize`."""
+        self.uris.append(scratch_path(self.spark, label))
+        df.write.parquet(self.uris[-1])
+        return self.spark.read.schema(df.schema).parquet(self.uris[-1])
+
+    def drop(self) -> None:
+        """Nothing may read them afterwards."""
+        for uri in self.uris:
+            remove_tree(self.spark, uri)
+        self.uris = []
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
