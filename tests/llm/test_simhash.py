@@ -81,6 +81,25 @@ def test_lists_hold_every_near_pair(spark):
     assert simhash.fingerprint_classes(far).count() == 0
 
 
+def test_any_two_positions_are_free_in_a_list():
+    assert all(any({i, j} <= set(free) for free in simhash.LISTS) for i, j in simhash.PAIRS)
+
+
+@pytest.mark.parametrize("small", [1, 5, 256])
+def test_long_and_short_lists(spark, small):
+    rng = np.random.default_rng(small)
+    fps = {0, -1}
+    for base in rng.integers(-(1 << 62), 1 << 62, 6).tolist():  # groups of many distinct fingerprints, near and less near
+        for _ in range(40):
+            bits = rng.choice(64, rng.integers(0, 5), replace=False).tolist()
+            x = (base & (1 << 64) - 1) ^ sum(1 << b for b in bits)
+            fps.add(x - (1 << 64) if x >> 63 else x)
+    rows = [(f, f & (1 << 64) - 1) for f in sorted(fps)]
+    want = dict(zip(sorted(fps), classes(rows)))
+    got = {r.node: r.root for r in simhash.fingerprint_classes(spark.createDataFrame([(f,) for f in fps], "fp long"), small).collect()}
+    assert got == {f: r for f, r in want.items() if f != r or r in [q for g, q in want.items() if g != f]}
+
+
 def test_components_of_a_chain(spark):
     from tidemark.llm.components import components
 

@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import Written
 
 MAX_ROUNDS = 60
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, large: bool, written: Written) -> DataFrame:
     """Links (u, v) with v < u turned into links to a nearby minimum."""
     if large:
         near = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,7 +23,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         near = links.select("u", "v")
     least = near.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).withColumn("m", F.least("w", "m"))
     # Written first: a join of two plain exchanges is one that adaptive execution can split at a hub.
-    least = materialize(least, "least")
+    least = written.table(least, "least")
     joined = near.join(least, F.col("u") == F.col("w"))
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -41,12 +41,17 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     now = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
     ).distinct()
-    now, mark = materialize(now, "links"), None
+    held = Written(links.sparkSession)
+    now, mark = held.table(now, "links"), None
     for _ in range(MAX_ROUNDS):
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.union(now.select(F.col("v"), F.col("v")).distinct())
         mark = seen
-        now = materialize(_star(_star(now, large=True), large=False), "links")
+        least, following = Written(links.sparkSession), Written(links.sparkSession)
+        now = following.table(_star(_star(now, True, least), False, least), "links")
+        least.drop()
+        held.drop()
+        held = following
     raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")

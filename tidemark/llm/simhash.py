@@ -1,17 +1,18 @@
-"""SimHash near-duplicates through an inverted index of positional bytes.
+"""SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A fingerprint of 64 bits is eight bytes at fixed positions. Two fingerprints
 that differ in at most two bits share at least six positional bytes, so a pair
-is a candidate if its tally of shared positional bytes reaches six, and a
-candidate is verified by its differing bits.
+is retained if its tally of shared positional bytes reaches six, and verified by its
+differing bits.
 
 Lists for single bytes would hold a 256th of all fingerprints each, and a tally
-over them would pair all of a list. The tally is therefore read from lists
-for each choice of six positions: a pair's tally reaches six if and only if
-the pair meets in one of the 28 lists. All members of one list agree in 48
-bits, so a list has at most 65,536 members at any input size. Its links are found
-inside the list and returned as a star for each linked part: never all pairs, and no
-link between parts is lost.
+over them would pair all of a list. The index is therefore keyed by five positions: each of
+the ``LISTS`` leaves three free, chosen so that any two positions are free together in one of them. A
+pair that shares six bytes meets there with a tally of five, and the free bytes are counted on top. Lists of one are
+dropped. Members of a list are tallied inside it and returned as a star for each
+linked part: never all pairs, and no link between parts is lost. A list with more than ``SMALL``
+members is keyed by each of its free bytes in turn: members that meet again have reached the tally of six,
+and such a list has at most 65,536 of them at any input size. Nothing is capped.
 
 Copies of a fingerprint are collapsed first and joined back at the end, on a
 join that adaptive execution can split.
@@ -31,12 +32,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.sql import unique
 from tidemark.llm.components import components
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import Written, materialize
 
 SHINGLE = 3
 SEED = 42
@@ -85,32 +86,49 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(_fingerprints, f"id {kind}, text_hash long, fp long")
 
 
-#: The 28 pairs of positions that a list leaves free.
-FREE = list(combinations(range(8), 2))
+#: Shared positional bytes that two fingerprints have at least if they differ in MAX_BITS bits.
+LEAST = 8 - MAX_BITS
+#: The positions that each list leaves free: triples of the eight that hold every pair, the fewest that do.
+LISTS = [(0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5), (7, 0, 1), (7, 2, 3), (7, 4, 5), (7, 6, 0)]
+PAIRS = list(combinations(range(8), 2))
+SMALL = 256
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _without(positions: tuple[int, ...]) -> int:
+    """The mask, as a signed long, of all bytes but those at ``positions``."""
+    mask = sum(255 << 8 * p for p in range(8) if p not in positions)
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def posting_lists(fps: DataFrame) -> DataFrame:
-    """(free, shared, rest): lists of two or more distinct fingerprints.
+    """(list, shared, fp, members): the members of the lists of two or more distinct fingerprints.
 
-    ``shared`` has the six agreeing bytes and zeros, ``rest`` the free 16 bits.
+    ``shared`` has the five agreeing bytes and zeros. A list has 2 ** 24 members at
+    most, and they are counted on a sort that spills.
     """
-    rows = []
-    for k, (i, j) in enumerate(FREE):
-        mask = ~((255 << 8 * i) | (255 << 8 * j)) & ((1 << 64) - 1)
-        low, high = (F.shiftrightunsigned("fp", 8 * p).bitwiseAND(255) for p in (i, j))
-        rows.append(F.struct(
-            F.lit(k).alias("free"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("shared"), (low + high * 256).cast("int").alias("rest"),
-        ))
-    keyed = fps.select(F.explode_outer(F.array(*rows)).alias("x")).select("x.*")
-    return keyed.groupBy("free", "shared").agg(F.collect_set("rest").alias("rest")).where(F.size("rest") > 1)
+    rows = [F.struct(F.lit(k).alias("list"), F.col("fp").bitwiseAND(F.lit(_without(free))).alias("shared")) for k, free in enumerate(LISTS)]
+    keyed = fps.select("fp", F.explode_outer(F.array(*rows)).alias("x")).select("x.*", "fp")
+    return keyed.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("list", "shared"))).where("members > 1")
 
 
 _MASKS = [0, *(1 << i for i in range(16)), *((1 << i) | (1 << j) for i, j in combinations(range(16), 2))]
-_SMALL = 256
+
+
+def _spread(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric table of links the least column of its part."""
+    own, top = np.arange(len(near)), len(near)
+    while True:
+        least = np.where(near, own[None, :], top).min(1)
+        if (least == own).all():
+            return own
+        own = least
+
+
+def tallied_parts(fps: np.ndarray) -> np.ndarray:
+    """The place of the first member of each member's linked part, for a list of ``SMALL`` at most."""
+    differ = fps[:, None] ^ fps[None, :]
+    tally = (differ.view(np.uint8).reshape(len(fps), len(fps), 8) == 0).sum(2, dtype=np.int8)
+    return _spread((tally >= LEAST) & (np.bitwise_count(differ) <= MAX_BITS))
 
 
 def linked_parts(rest: np.ndarray) -> np.ndarray:
@@ -119,42 +137,76 @@ def linked_parts(rest: np.ndarray) -> np.ndarray:
     Values are linked at two or fewer differing bits. Short lists compare their
     members; long ones look up the 137 neighbours of each member.
     """
+    if len(rest) <= SMALL:
+        order = np.argsort(rest)
+        near = np.bitwise_count(rest[order, None] ^ rest[None, order]) <= MAX_BITS
+        out = np.empty_like(rest)
+        out[order] = rest[order][_spread(near)]
+        return out
     own = rest.copy()
-    small = len(rest) <= _SMALL
-    if small:
-        near = np.bitwise_count(rest[:, None] ^ rest[None, :]) <= MAX_BITS
-    else:
-        label = np.full(1 << 16, 1 << 16, np.int64)
+    label = np.full(1 << 16, 1 << 16, np.int64)
     while True:
-        if small:
-            least = np.where(near, own[None, :], 1 << 16).min(1)
-        else:
-            label[rest] = own
-            least = np.minimum.reduce([label[rest ^ m] for m in _MASKS])
+        label[rest] = own
+        least = np.minimum.reduce([label[rest ^ m] for m in _MASKS])
         if (least == own).all():
             return own
         own = least
 
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stars of the lists that are compared whole."""
     for b in batches:
         a, z = [], []
-        for free, shared, rest in zip(b["free"], b["shared"], b["rest"], strict=True):
+        for fps in b["fps"]:
+            fps = np.sort(np.asarray(fps, np.int64))
+            first = tallied_parts(fps.view(np.uint64))
+            far = first != np.arange(len(fps))
+            a.append(fps[first[far]])
+            z.append(fps[far])
+        if a:
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(z)})
+
+
+def _dense_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stars of lists whose members agree in all bytes but those at ``i`` and ``j``."""
+    for b in batches:
+        a, z = [], []
+        for i, j, shared, rest in zip(b["i"], b["j"], b["six"], b["rest"], strict=True):
             rest = np.asarray(rest, np.int64)
             least = linked_parts(rest)
             far = least != rest
-            if far.any():
-                i, j = FREE[free]
-                put = lambda v, s=shared, i=i, j=j: np.int64(s) | ((v & 255) << 8 * i) | ((v >> 8) << 8 * j)
-                a.append(put(least[far]))
-                z.append(put(rest[far]))
+            put = lambda v, s=shared, i=i, j=j: np.int64(s) | ((v & 255) << 8 * i) | ((v >> 8) << 8 * j)
+            a.append(put(least[far]))
+            z.append(put(rest[far]))
         if a:
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(z)})
 
 
-def fingerprint_classes(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, small: int, written: Written) -> DataFrame:
+    """(a, b): a star of verified links for each linked part of each list."""
+    lists = written.table(posting_lists(fps), "lists")
+    short = lists.where(F.col("members") <= small).groupBy("list", "shared").agg(F.collect_list("fp").alias("fps"))
+    again = [
+        F.struct(
+            F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("fp").bitwiseAND(F.lit(_without((i, j)))).alias("six"),
+            (F.shiftrightunsigned("fp", 8 * i).bitwiseAND(255) + F.shiftrightunsigned("fp", 8 * j).bitwiseAND(255) * 256).cast("int").alias("rest"),
+        )
+        for i, j in PAIRS
+    ]
+    free = [F.array(*(again[k] for k, pair in enumerate(PAIRS) if set(pair) < set(three))) for three in LISTS]
+    dense = (
+        lists.where(F.col("members") > small).select(F.explode_outer(F.get(F.array(*free), F.col("list"))).alias("x")).select("x.*")
+        .groupBy("i", "j", "six").agg(F.collect_set("rest").alias("rest")).where(F.size("rest") > 1)
+    )
+    return short.mapInPandas(_links, "a long, b long").unionByName(dense.mapInPandas(_dense_links, "a long, b long"))
+
+
+def fingerprint_classes(fps: DataFrame, small: int = SMALL) -> DataFrame:
     """(fp, root) of each fingerprint that is linked to another."""
-    return components(posting_lists(fps).mapInPandas(_links, "a long, b long"), "a", "b")
+    written = Written(fps.sparkSession)
+    roots = components(links(fps, small, written), "a", "b")
+    written.drop()
+    return roots
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
