@@ -2,16 +2,21 @@
 
 import hashlib
 import random
-import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidemark.llm import chat
+from tidemark.llm.tokens import default_path
+
+KNOWN = set(chat.whole_pieces(default_path()))
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s")
 
 
 def tokens(text):
-    return 4 + len(re.findall(chat.TOKEN, text))
+    return sum(1 if w in KNOWN else len(w.encode()) for w in PIECE.findall(text))
 
 
 def esc(text):
@@ -20,8 +25,8 @@ def esc(text):
 
 def plain(turns, budget, most, limit):
     """[(text, spans, context)] of one conversation's (role, text) in order."""
-    size = [tokens(t) for _, t in turns]
     draw = lambda i: f"<|im_start|>{esc(turns[i][0]).replace(chr(10), chr(92) + 'n')}\n{esc(turns[i][1])}<|im_end|>\n"
+    size = [tokens(draw(i)) for i in range(len(turns))]
     system = turns[0][0] == "system"
     out, at = [], 0
     while at < len(turns):
@@ -46,7 +51,7 @@ def plain(turns, budget, most, limit):
     return out
 
 
-@pytest.mark.parametrize("budget,most,limit", [(40, 2, 15), (1024, 4, 256), (15, 0, 0)])
+@pytest.mark.parametrize("budget,most,limit", [(120, 2, 45), (1024, 4, 256), (15, 0, 0)])
 def test_windows(spark, budget, most, limit):
     rng = random.Random(budget)
     bits = ["<|im_end|>", "<|im_start|>", "\\", "\\n", "<", "|", "<\\|", "\n", "é🙂", "word ", "a1 ", "", "x " * 30]
@@ -81,3 +86,27 @@ def test_odd_rows(spark):
     assert got == {None: (2, 1, 1), 1: (1, 0, 1), 2: (2, 2, 1), 3: (2, 10000, 2)}
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.format_chats(empty)).collect() == []
+
+
+def test_pieces_of_the_vocabulary_are_one_token():
+    library = Tokenizer.from_file(default_path())
+    assert len(KNOWN) > 45_000
+    assert all(len(e.ids) == 1 for e in library.encode_batch(sorted(KNOWN), add_special_tokens=False))
+
+
+def test_no_window_exceeds_the_budget(spark, sf):
+    """By the encoder: more than the budget only where a window's one new turn brings it."""
+    library = Tokenizer.from_file(default_path())
+    library.encode_special_tokens = True
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    odd = ["\u00a0 \u2003x\x1c \x1f\n\n y", "don't  we'll\t\tit's '' 's", "日本語 Ωmega 🙂🙂 １２３ ²³ \u0301a", "\r\n \x85 ", "<|endoftext|>"]
+    more = spark.createDataFrame([(-2, i, "user", t * 9) for i, t in enumerate(odd)], "conv_id long, turn long, role string, text string")
+    made = chat.format_chats(rows.select("conv_id", "turn", "role", "text").union(more)).collect()
+    seen = 0
+    for w in (w for r in made for w in r.windows):
+        real = len(library.encode(w.text, add_special_tokens=False).ids)
+        assert real <= w.tokens
+        new = w.text.count("<|im_start|>") - w.n_context
+        assert w.tokens <= chat.BUDGET or new == 1
+        seen += new > 1
+    assert seen

@@ -4,9 +4,10 @@ A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. A backslash in a role or tex
 is doubled and ``<|`` becomes ``<\\|``, so no text can hold a control string, and both
 are read back exactly; in a role a line feed becomes ``\\n`` as two characters.
 
-A turn's tokens are estimated by a pattern. Their prefix sums, made by a window
-function, choose spans of whole turns: a window takes turns while its tokens
-fit the budget. Each window after the first repeats the first turn if that is a
+A turn's tokens, its marks among them, are bounded from above by expressions alone: of its pieces, split as
+byte-level BPE splits, one that the vocabulary has is one token, any other has at most its bytes.
+Their prefix sums, made by a window function, choose spans of whole turns: a window takes turns while
+the bound fits the budget, so no window of more than one new turn has more tokens than that. Each window after the first repeats the first turn if that is a
 system turn, then the last few turns before it, as far as the history's limits
 and the budget allow. Repeated turns are context: assistant texts among them
 are masked, so each assistant text is a target exactly once. A turn longer than the
@@ -22,18 +23,62 @@ one conversation. Other columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import let
+from tidemark.llm.tokens import default_path, encoder
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 BUDGET = 1024
 HISTORY_TURNS = 4
 HISTORY_TOKENS = 256
-#: Estimated tokens of a turn's marks, and of its text: a match each.
-TURN_TOKENS = 4
-TOKEN = r"[0-9A-Za-z]+|[^0-9A-Za-z\x20\x09-\x0D]"
+#: Unicode white space, and the pieces that byte-level BPE cuts a text into, but each white space by itself: where
+#: BPE takes several for one piece, they are at most as many tokens. Java, RE2 and ``regex`` read it alike.
+SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]"
+BUCKETS = 1 << 15
+
+
+@lru_cache(maxsize=4)
+def whole_pieces(path: str) -> tuple[str, ...]:
+    """The vocabulary's entries of two bytes or more that can be a piece, in order of their ids."""
+    piece = regex.compile(regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", PIECE))
+    found = []
+    for token in encoder(path).token_byte_values():
+        try:
+            word = token.decode()
+        except UnicodeDecodeError:
+            continue
+        if len(token) > 1 and piece.fullmatch(word):
+            found.append(word)
+    return tuple(found)
+
+
+@lru_cache(maxsize=4)
+def _table(path: str) -> str:
+    """The pieces in buckets by hash: a literal that is looked up in constant time. No piece holds a tab or line feed."""
+    buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
+    for word in whole_pieces(path):
+        buckets[xxhash.xxh64_intdigest(word.encode(), 42) % BUCKETS].append(word)
+    return "\t".join("\n".join(["", *b, ""]) if b else "" for b in buckets)
+
+
+def token_bound(text: Column, tokenizer: str | None = None) -> Column:
+    """At least as many tokens as the byte-level BPE file ``tokenizer`` makes of ``text``."""
+    table = F.split(F.lit(_table(tokenizer or default_path())), "\t")  # folded to a constant
+
+    def cost(w: Column) -> Column:
+        bucket = F.get(table, F.xxhash64(w).bitwiseAND(BUCKETS - 1).cast("int"))
+        known = F.instr(bucket, F.concat(F.lit("\n"), w, F.lit("\n"))) > 0
+        return F.when((F.octet_length(w) > 1) & ~known, F.octet_length(w)).otherwise(1)
+
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    return F.aggregate(pieces, F.lit(0).cast("long"), lambda n, w: n + cost(w))
 
 
 def escape(text: Column) -> Column:
@@ -48,7 +93,7 @@ def unescape(text: Column) -> Column:
     return F.array_join(parts, "\\")
 
 
-def _turns(rows: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
+def _turns(rows: DataFrame, conv_id: str, turn: str, role: str, text: str, tokenizer: str | None) -> DataFrame:
     """A row per conversation with its turns in order and their prefix sums."""
     plain = rows.select(
         F.col(conv_id).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
@@ -57,7 +102,7 @@ def _turns(rows: DataFrame, conv_id: str, turn: str, role: str, text: str) -> Da
     head = F.concat(F.lit(OPEN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
     made = plain.select(
         "conv", "turn", "role", "text", head.alias("head"), escape(F.col("text")).alias("body"),
-        (F.regexp_count("text", F.lit(TOKEN)) + TURN_TOKENS).cast("long").alias("tokens"),
+        token_bound(F.concat(head, escape(F.col("text")), F.lit(CLOSE + "\n")), tokenizer).alias("tokens"),
     ).withColumn("chars", (F.char_length("head") + F.char_length("body") + len(CLOSE) + 1).cast("long"))
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
     until = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -137,11 +182,11 @@ def _windows(turns: Column, starts: Column, system: Column) -> Column:
 
 def format_chats(
     rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
-    budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS,
+    budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS, tokenizer: str | None = None,
 ) -> DataFrame:
-    """(conv_id, windows): each window's text, ``loss`` spans in code points, repeated turns, tokens.
+    """(conv_id, windows): each window's text, ``loss`` spans in code points, repeated turns, bound of tokens.
 
-    The first ``n_context`` turns of a window repeat earlier ones.
+    The first ``n_context`` turns of a window repeat earlier ones. ``tokenizer`` is the path of a byte-level BPE file.
     """
     system = lambda t: t[0]["role"] == "system"
     made = let(
@@ -150,7 +195,7 @@ def format_chats(
             _starts(t, system(t), budget, history_turns, history_tokens), lambda s: _windows(t, s, system(t))
         ),
     )
-    return _turns(rows, conv_id, turn, role, text).select(F.col("conv").alias(conv_id), made.alias("windows"))
+    return _turns(rows, conv_id, turn, role, text, tokenizer).select(F.col("conv").alias(conv_id), made.alias("windows"))
 
 
 def read_turns(windows: Column) -> Column:

@@ -1,5 +1,8 @@
 """DuckDB SQL with the rows of those queries that SQL can express."""
 
+from tidemark.llm.chat import PIECE, whole_pieces
+from tidemark.llm.tokens import default_path
+
 QUALITY_RULES = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS body FROM documents),
 w AS (SELECT doc_id, source, body, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
@@ -53,10 +56,14 @@ CHAT = r"""
 WITH RECURSIVE c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-t AS (SELECT conv_id, row_number() OVER w - 1 AS i, role, text,
-             len(regexp_extract_all(text, '[0-9A-Za-z]+|[^0-9A-Za-z\x20\x09-\x0D]')) + 4 AS tok,
+e AS (SELECT *, '<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') || chr(10)
+                || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10) AS drawn FROM c),
+v AS (SELECT DISTINCT unnest(string_split('{VOCABULARY}', chr(10))) AS piece),
+k AS (SELECT drawn, sum(CASE WHEN v.piece IS NULL THEN strlen(x.piece) ELSE 1 END) AS tok
+      FROM (SELECT drawn, unnest(regexp_extract_all(drawn, '{PIECE}')) AS piece FROM (SELECT DISTINCT drawn FROM e)) x LEFT JOIN v ON v.piece = x.piece GROUP BY drawn),
+t AS (SELECT conv_id, row_number() OVER w - 1 AS i, role, text, tok,
              24 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS chars
-      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+      FROM e JOIN k USING (drawn) WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 p AS (SELECT *, coalesce(sum(tok) OVER b, 0) AS tb, coalesce(sum(chars) OVER b, 0) AS cb, first_value(role) OVER w = 'system' AS sys,
              first_value(tok) OVER w AS tok0, first_value(chars) OVER w AS chars0
       FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY i), b AS (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -75,3 +82,9 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || c
        any_value(formatted_chars) AS formatted_chars, any_value(n_windows) AS n_windows
 FROM p JOIN f USING (conv_id) GROUP BY conv_id
 """
+
+
+def chat_sql() -> str:
+    """``CHAT`` with the vocabulary's pieces in it."""
+    quoted = lambda x: x.replace("'", "''")
+    return CHAT.replace("{VOCABULARY}", quoted("\n".join(whole_pieces(default_path())))).replace("{PIECE}", quoted(PIECE))

@@ -86,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": oracles.CHAT, "op8_quality_rules": oracles.QUALITY_RULES, "op9_warc": oracles.WARC, "op10_decontamination": oracles.CONTAMINATION}
+    return {"op2_chat": oracles.chat_sql(), "op8_quality_rules": oracles.QUALITY_RULES, "op9_warc": oracles.WARC, "op10_decontamination": oracles.CONTAMINATION}
