@@ -45,6 +45,29 @@ def test_damage(plain, monkeypatch):
         assert keys(read(b"garbage" * 9)) == [(0, 63)] and read(b"") == []
 
 
+def test_a_damaged_length_reads_nothing():
+    parts = make([b"x" * 500] * 4, plain=True)
+    parts[1] = parts[1].replace(b"Content-Length: 55", b"Content-Length: 9999955")
+    data = b"".join(parts) + b"\0" * (12 << 20)
+    most = 0
+
+    def reader(a, n):
+        nonlocal most
+        most = max(most, min(n, len(data) - a))
+        return data[a : a + n]
+
+    found = list(warc.salvage(reader, len(data)))
+    assert keys(found)[:1] == ["0"] and [k for k in keys(found) if isinstance(k, str)] == ["0", "2", "3"]
+    assert most <= 1 << 20
+
+
+def test_headers_of_any_length():
+    parts = make([b"a" * 300, b"b" * 300], plain=True)
+    parts[0] = parts[0].replace(b"WARC-Target-URI: http://a/", b"WARC-Target-URI: http://a/" + b"q" * (3 << 20))
+    assert keys(read(b"".join(parts))) == ["0", "1"]
+    assert keys(read(b"WARC/1.1\r\n" + b"z" * (3 << 20) + parts[1]))[-1] == "1"
+
+
 def test_damage_inside_a_member():
     whole = make([b"a" * 50, b"b" * 50, b"c" * 50], plain=True)
     bad = bytearray(whole[1])

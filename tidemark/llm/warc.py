@@ -9,8 +9,8 @@ so lost or repeated attempts leave nothing to read.
 The reader checks each record (gzip checksum, version line, headers, length, end
 mark, block and payload digests). After a failed check it searches for the next gzip member or version
 line that passes them all, goes on from there, and returns the bytes in
-between as a ``gap`` with the reason. It reads through a window, so memory is
-bounded by the largest record.
+between as a ``gap`` with the reason. It reads through a window, and a length is believed only
+if the end mark is where it says, so memory is bounded by the largest record or gzip member.
 
 Cases. A null body is an empty payload; a null address has no header. A null key is
 written as such and is a revisit if an equal payload has a key. Rows that
@@ -44,6 +44,9 @@ ARCHIVE_BYTES = 64 << 20
 VERSION = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _WINDOW = 1 << 20
+#: A header line whose name does not end within so many bytes is none.
+_NAME = 1 << 16
+_VERSIONS = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 _DATE = "2000-01-01T00:00:00Z"
 
@@ -85,10 +88,6 @@ class Damage(Exception):
     """A check of a record failed."""
 
 
-class NeedMore(Exception):
-    """The window ends inside a record."""
-
-
 @dataclass
 class Record:
     headers: dict[str, str]
@@ -105,36 +104,20 @@ class Gap:
     reason: str
 
 
-def parse(data: bytes, at: int, ended: bool) -> tuple[Record, int]:
-    """The record at ``at`` and where it ends; all checks pass."""
-
-    def short(why: str):
-        return Damage(why) if ended else NeedMore()
-
-    if len(data) - at < 10 and not ended:
-        raise NeedMore
-    if not re.compile(rb"WARC/1\.[01]\r\n").match(data, at):
-        raise Damage("no version line")
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
-        if len(data) - at > _WINDOW:
-            raise Damage("headers do not end")
-        raise short("headers do not end")
+def _fields(head: bytes) -> dict[str, str]:
+    """Headers below the version line, and a length among them."""
     headers = {}
-    for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if not colon:
             raise Damage("header without a colon")
         headers[name.strip().lower()] = value.strip()
     if not headers.get("content-length", "").isdigit():
         raise Damage("no length")
-    start, stop = end + 4, end + 4 + int(headers["content-length"])
-    if len(data) < stop + 4:
-        raise short("record is cut off")
-    if data[stop : stop + 4] != b"\r\n\r\n":
-        raise Damage("no end mark")
-    block = data[start:stop]
+    return headers
+
 
+def _checked(headers: dict[str, str], block: bytes) -> Record:
     def digest(name: str, of: bytes) -> None:
         how, _, want = headers.get(name, "").partition(":")
         if how == "sha256" and hashlib.sha256(of).hexdigest() != want:
@@ -149,15 +132,47 @@ def parse(data: bytes, at: int, ended: bool) -> tuple[Record, int]:
         payload = block[head + 4 :]
     if headers.get("warc-type") != "revisit":
         digest("warc-payload-digest", payload)
-    return Record(headers, payload), stop + 4
+    return Record(headers, payload)
+
+
+def parse(data: bytes, at: int) -> tuple[Record, int]:
+    """The record at ``at`` and where it ends; all checks pass."""
+    return _plain(lambda place, n: data[place : place + n], at, len(data))
 
 
 # Reading.
 
 
-def _inflated(read: Callable[[int, int], bytes], at: int, size: int, limit: int | None = None) -> tuple[bytes, int]:
-    """What the gzip member at ``at`` holds, and where it ends."""
-    z, out, place, held = zlib.decompressobj(31), [], at, 0
+def _plain(read: Callable[[int, int], bytes], at: int, size: int) -> tuple[Record, int]:
+    """As :func:`parse`. The end mark is looked at before the block, so a damaged length reads nothing."""
+    n = _WINDOW
+    while True:
+        data = read(at, n)
+        whole = at + len(data) >= size
+        if not _VERSIONS.match(data):
+            raise Damage("no version line")
+        end = data.find(b"\r\n\r\n")
+        if end >= 0:
+            break
+        # Only what can still be headers is read on.
+        *lines, last = data.split(b"\r\n")[1:]
+        if not all(b":" in x for x in lines) or (len(last) > _NAME and b":" not in last):
+            raise Damage("header without a colon")
+        if whole:
+            raise Damage("headers do not end")
+        n *= 2
+    headers = _fields(data[:end])
+    start, stop = at + end + 4, at + end + 4 + int(headers["content-length"])
+    if size < stop + 4:
+        raise Damage("record is cut off")
+    if read(stop, 4) != b"\r\n\r\n":
+        raise Damage("no end mark")
+    return _checked(headers, read(start, stop - start)), stop + 4
+
+
+def _inflated(read: Callable[[int, int], bytes], at: int) -> tuple[bytes, int]:
+    """What the gzip member at ``at`` holds, and where it ends. It is inflated on only if it begins like a record."""
+    z, out, place, seen = zlib.decompressobj(31), [], at, b""
     while not z.eof:
         chunk = read(place, _WINDOW)
         if not chunk:
@@ -167,23 +182,13 @@ def _inflated(read: Callable[[int, int], bytes], at: int, size: int, limit: int
         except zlib.error as e:
             raise Damage(f"gzip: {e}") from None
         place += len(chunk)
-        held += len(out[-1])
-        if limit is not None and held >= limit:
-            break
+        if len(seen) < len(VERSION):
+            seen = b"".join(out)[: len(VERSION)]
+            if len(seen) == len(VERSION) and not _VERSIONS.match(seen):
+                raise Damage("no version line")
     return b"".join(out), place - len(z.unused_data)
 
 
-def _plain(read: Callable[[int, int], bytes], at: int, size: int) -> tuple[Record, int]:
-    n = _WINDOW
-    while True:
-        data = read(at, n)
-        try:
-            found, end = parse(data, 0, at + len(data) >= size)
-            return found, at + end
-        except NeedMore:
-            n *= 2
-
-
 def _search(read: Callable[[int, int], bytes], at: int, size: int) -> int:
     """The next place from ``at`` on where a whole valid record begins, or the end."""
     while at < size:
@@ -192,8 +197,8 @@ def _search(read: Callable[[int, int], bytes], at: int, size: int) -> int:
             place = at + m.start()
             try:
                 if m[0] == _MEMBER:
-                    whole, _ = _inflated(read, place, size)
-                    parse(whole, 0, True)
+                    whole, _ = _inflated(read, place)
+                    parse(whole, 0)
                 else:
                     _plain(read, place, size)
                 return place
@@ -215,11 +220,11 @@ def salvage(read: Callable[[int, int], bytes], size: int) -> Iterator[Record | G
         start = at
         try:
             if read(at, 3) == _MEMBER:
-                whole, stop = _inflated(read, at, size)
+                whole, stop = _inflated(read, at)
                 place = 0
                 while place < len(whole):
                     try:
-                        found, place = parse(whole, place, True)
+                        found, place = parse(whole, place)
                     except Damage as e:
                         if not place:
                             raise
