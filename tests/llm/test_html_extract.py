@@ -1,11 +1,14 @@
 """Extraction on pages whose main text is known, and simple tree matching by brute force."""
 
 import json
+import os
 import random
+import re
 from functools import lru_cache
 from html import escape
 
 from tidemark.llm import html_extract as hx
+from tidemark.llm import html_tree
 from tidemark.llm.html_tree import Node, blocks, parse
 
 LONG = "the quick brown fox jumps over the lazy dog and runs away from here"
@@ -114,3 +117,53 @@ def test_generated_articles(spark, sf):
         assert r.text == "\n".join(texts(f"<div>{inner}</div>")) and r.n_chars > 0
     assert hx.main_text(pages.limit(0)).collect() == []
     assert isinstance(parse("x").parts[0], tuple) and isinstance(parse("<p>").parts[0], Node)
+
+
+def test_deep_pages():
+    deep = lambda x, n=200: "<div>" * n + x + "</div>" * n
+    page = f"<body><div>top<article><div>{deep('<p>one</p><nav>menu <div>more</div></nav>two<p>three <a>link</a>')}</div><p>four</p></article></div><p>end"
+    assert texts(page) == ["top", "one", "two", "three link", "four", "end"]
+    assert hx.extract(page) == "one\ntwo\nthree link\nfour"
+    assert texts(deep("<aside>" * 300 + "no" + "</aside>" * 300 + "yes") + "after") == ["yes", "after"]
+    assert texts("<span>" * 3000 + "<li>a" * 3000) == ["a"] * 3000
+
+
+def test_rare_children_still_count():
+    site = lambda k: hx.skeleton(parse(f"<body><div class=x>{''.join(f'<div class={chr(97 + k % 26)}{chr(97 + i)}{chr(97 + k // 26)}><p>{k} {i} {LONG}</p></div>' for i in range(12))}</div></body>"))
+    now = site(0)
+    for k in range(1, 60):
+        now = hx.merge(now, site(k))
+    body = now.children[0]
+    box = next(c for c in body.children if c.label == "div.x")
+    assert len(box.children) == hx.NODES + 1 and box.children[-1].label == ""
+    assert hx._mass(now, False) == sum(len(f"{k} {i} {LONG}") for k in range(60) for i in range(12))
+
+
+def induced(html, monkeypatch=None):
+    """Texts of one host's pages without Spark."""
+    trees = [hx.skeleton(parse(h)) for h in html]
+    now = trees[0]
+    for t in trees[1:]:
+        now = hx.merge(now, t)
+    rule = json.loads(json.dumps(hx.rules(now, list(range(min(len(set(html)), hx.MIN_PAGES))))))
+    return [hx.extract(h, rule) for h in html]
+
+
+def test_induction_finds_articles_without_their_names(spark, sf, monkeypatch):
+    """Where nothing is called article or main the root is the same; and with an article no class or role is needed."""
+    hosts = {}
+    larger = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.1")  # hosts of the smaller tables have too few pages
+    for r in spark.read.parquet(f"{larger}/pages.parquet").collect():
+        hosts.setdefault(hx.host_of(r.url), []).append(r.html or "")
+    large = sorted((h for h in hosts.values() if len(set(h)) >= hx.MIN_PAGES), key=len)[:12]
+    want = [induced(h) for h in large]
+    unnamed = [[re.sub(r"(</?)(article|main)\b", r"\1div", x) for x in h] for h in large]
+    assert [induced(h) for h in unnamed] == want
+    for name in ("JUNK_ROLES", "JUNK_WORDS"):
+        monkeypatch.setattr(html_tree, name, frozenset())
+    assert [induced(h) for h in large] == want
+
+
+def test_names_tell_what_varies_but_is_no_article():
+    site = lambda k: f"<body><div class=post><p>{k} {LONG} {k}</p><p>{k} again {LONG}</p><div class=comments><p>reader {k}: I think {LONG}</p></div></div><div>foot of all pages</div></body>"
+    assert induced([site(k) for k in range(20)]) == [f"{k} {LONG} {k}\n{k} again {LONG}" for k in range(20)]

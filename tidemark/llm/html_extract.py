@@ -11,12 +11,13 @@ boilerplate, or else the deepest node that holds all of it. A page is aligned wi
 and its main text is what is under its content root, without boilerplate elements
 and template nodes.
 
-Scale. Wrappers merge in any order, so each task folds the pages it reads, host by host,
+Scale. Wrappers can be merged in any order (ties between alignments may fall differently, which moves which of two
+equal nodes a slot is, not what varies), so each task folds the pages it reads, host by host,
 and only wrappers are shuffled: a host with a third of all pages is a few rows
 for each task. They meet in salted groups first. Rules go back to pages by a join of
 plain exchanges, which adaptive execution can split. Nodes that differ in
 label only by digits are alike, and a wrapper keeps at most ``NODES`` nodes for a parent (the
-commonest), which bounds rules but never drops a page's text.
+commonest) and folds the others into one, which bounds rules but never drops a page's text.
 
 Cases. Null html is empty and has an empty text. A null or hostless address is a
 host of its own. A host with fewer than ``MIN_PAGES`` different pages has no
@@ -114,8 +115,7 @@ def merge(a: Skel, b: Skel, fold: bool = False) -> Skel:
     for x, y in _aligned(a.children, b.children):
         children.append(merge(x, y, fold) if x and y else x or y)
     if len(children) > NODES:
-        kept = sorted(sorted(range(len(children)), key=lambda k: -children[k].pages)[:NODES])
-        children = [children[k] for k in kept]
+        children = _common(children)
     return Skel(
         a.label, a.junk and b.junk, max(a.pages, b.pages) if fold else a.pages + b.pages, a.chars + b.chars, a.links + b.links,
         (xxhash.xxh3_64_intdigest(f"{a.value} {b.value}") >> 1) if fold else a.value if a.value == b.value else None,
@@ -123,6 +123,19 @@ def merge(a: Skel, b: Skel, fold: bool = False) -> Skel:
     )
 
 
+def _common(children: list[Skel]) -> list[Skel]:
+    """The ``NODES`` commonest in their order, the rest as one node that matches nothing but counts as a slot.
+
+    None of the rest can be template: that takes nine pages in ten.
+    """
+    order = sorted(range(len(children)), key=lambda k: (not children[k].label, -children[k].pages, k))
+    rest = [children[k] for k in order[NODES:]]
+    total = lambda x: (x.chars + sum(total(c)[0] for c in x.children if not c.junk), x.links + sum(total(c)[1] for c in x.children if not c.junk))
+    sums = [total(x) for x in rest if not x.junk]
+    folded = Skel("", False, max(x.pages for x in rest), sum(c for c, _ in sums), sum(n for _, n in sums), None, True)
+    return [children[k] for k in sorted(order[:NODES])] + [folded]
+
+
 def _size(x: Skel) -> int:
     return 1 + sum(map(_size, x.children))
 
@@ -139,7 +152,7 @@ def _folded(children: list[Skel]) -> list[Skel]:
     by_label: dict[str, Skel] = {}
     for c in children:
         by_label[c.label] = merge(by_label[c.label], c, fold=True) if c.label in by_label else c
-    return list(by_label.values())[:NODES]
+    return list(by_label.values())
 
 
 def skeleton(node: Node, junk: bool = False) -> Skel:

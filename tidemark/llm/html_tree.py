@@ -8,6 +8,7 @@ boilerplate by its name, role, class or id is marked, inline ones too.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 # Element names of the HTML standard.
@@ -54,8 +55,9 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
-#: Elements nested deeper are marks of a block's end inside the element above.
+#: Blocks nested deeper have their text in the block above, between marks that end lines; boilerplate stays apart.
 DEPTH = 150
+_ENDERS = frozenset().union(*ENDS.values())
 
 
 class Node:
@@ -101,6 +103,7 @@ def parse(html: str) -> Node:
     root = Node("", "", False, False)
     stack = [root]
     tags = [""]
+    open_tags = Counter(tags)
     links = 0
     at = 0
 
@@ -111,8 +114,15 @@ def parse(html: str) -> Node:
     def close(k: int) -> None:
         nonlocal links
         links -= sum(t == "a" for t in tags[k:])
+        open_tags.subtract(tags[k:])
+        deep = len(tags) > DEPTH and any(t in BLOCK for t in tags[max(k, DEPTH):])
         del tags[k:]
         del stack[k:]
+        if deep:
+            stack[-1].parts.append(Node("", "", False, False))
+
+    def last(tag: str) -> int:
+        return next(k for k in range(len(tags) - 1, -1, -1) if tags[k] == tag)
 
     for m in iter(lambda: _TOKEN.search(html, at), None):
         text(html[at : m.start()])
@@ -123,17 +133,17 @@ def parse(html: str) -> Node:
         if m["end"]:
             if tag == "br":
                 text(" ")
-            elif tag in tags:
-                k = len(tags) - 1 - tags[::-1].index(tag)
+            elif open_tags[tag]:
+                k = last(tag)
                 # An inline end tag does not reach out of its block.
                 if tag in BLOCK or not any(t in BLOCK for t in tags[k:]):
                     close(k)
             continue
-        if tag in ENDS_P and "p" in tags:
-            k = len(tags) - 1 - tags[::-1].index("p")
+        if tag in ENDS_P and open_tags["p"]:
+            k = last("p")
             if not any(t in SCOPE for t in tags[k:]):
                 close(k)
-        for k in range(len(tags) - 1, 0, -1):
+        for k in range(len(tags) - 1, 0, -1) if tag in _ENDERS else ():
             if tag in ENDS.get(tags[k], ()):
                 close(k)
                 break
@@ -155,9 +165,10 @@ def parse(html: str) -> Node:
             end = _RAW_END[tag].search(html, at)
             at = end.end() if end else len(html)
             continue
-        if len(stack) >= DEPTH:
-            continue
+        if len(stack) > DEPTH and (not junk or stack[-1].junk):
+            node = stack[-1]
         tags.append(tag)
+        open_tags[tag] += 1
         stack.append(node)
         links += tag == "a"
     text(html[at:])
