@@ -13,13 +13,21 @@ from tidemark.sources.scratch import scratch_path
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted, those labelled bad deleted again; the second sending of a batch changes nothing."""
-    counts = materialize(token_counts.count_tokens(table(spark, sf_dir, "documents"), added=True), "token-counts")
+    """All documents inserted, those labelled bad deleted, others revised to hold each line once.
+
+    The second sending of a batch changes nothing.
+    """
+    docs = table(spark, sf_dir, "documents")
+    counts = materialize(token_counts.count_tokens(docs, added=True), "token-counts")
     bad = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("id")).distinct()
+    once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
+    revised = docs.withColumn("text", F.when(F.col("text") != once, once)).where("text is not null")
+    now = materialize(token_counts.count_tokens(revised, added=True).join(bad, "id", "left_anti"), "token-counts-revised")
     rollup = token_counts.Rollup(spark, scratch_path(spark, "rollup"))
     for _ in range(2):
-        rollup.commit("load", token_counts.signed(counts, 1))
-        rollup.commit("drop bad", token_counts.signed(counts.join(bad, "id", "left_semi"), -1))
+        rollup.commit("load", lambda: token_counts.signed(counts, 1))
+        rollup.commit("drop bad", lambda: token_counts.signed(counts.join(bad, "id", "left_semi"), -1))
+        rollup.commit("lines once", lambda: token_counts.changes(counts.join(now.select("id"), "id", "left_semi"), now))
     return rollup.totals()
 
 

@@ -3,10 +3,12 @@
 Totals by source, language and tokenizer version are sums, so they are never recomputed:
 a batch of changes has a sign for each document's count (an insert +1, a
 delete -1, a revision both: the old count out and the new one in), is summed by
-group, and its few sums are written as one small table. Publishing the batch's id
-by put-if-absent commits it; the first to publish an id wins, so a batch that is sent again, by a retry or another
-driver, changes nothing. Totals are the sum of the committed batches, and
-:meth:`Rollup.compact` replaces them by one.
+group, and its few sums are written as one small table. A batch is committed by an entry in a
+log, whose numbers are taken by put-if-absent, and by a mark, put likewise, that says which entry counts for the batch's
+id. A batch that is sent again, by a retry or another driver, finds the mark or adds an entry that does not count; a mark that a
+lost driver did not write is written by the next reader. Totals are the last compaction and the entries after it.
+:meth:`Rollup.compact` adds these entries to it, and a commit does so every ``EVERY`` entries, so neither readers nor
+compactions ever go back over what is compacted.
 
 Scale. Counting has no shuffle; sums are combined before theirs, so a
 source with a third of all rows is a row for each task.
@@ -33,6 +35,7 @@ from tidemark.sources.log_store import store_for
 
 GROUP = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens", "n_bytes")
+EVERY = 64
 
 
 def _counted(path: str, added: bool):
@@ -88,11 +91,36 @@ class Rollup:
         self.spark, self.folder = spark, folder.rstrip("/")
         self.store, self.root = store_for(spark, self.folder)
 
-    def _entry(self, batch: str) -> str:
-        return f"{self.root}/commits/{hashlib.sha256(batch.encode()).hexdigest()}.json"
+    def _owner(self, batch: str, number: int | None = None) -> int | None:
+        """The entry that counts for a batch; ``number`` does if none is marked yet."""
+        path = f"{self.root}/batches/{hashlib.sha256(batch.encode()).hexdigest()}"
+        if number is not None:
+            self.store.put_if_absent(path, str(number).encode())
+        found = self.store.read(path)
+        return None if found is None else int(found)
+
+    def _whole(self) -> tuple[int, str | None]:
+        """The last entry of the newest compaction and its sums."""
+        names = self.store.names(f"{self.root}/compact")
+        if not names:
+            return -1, None
+        found = json.loads(self.store.read(f"{self.root}/compact/{names[-1]}"))
+        return found["upto"], found["data"]
+
+    def _entries(self, after: int) -> tuple[list[dict], int]:
+        """The entries after one that count, and the number of the last."""
+        out, n = [], after + 1
+        while (data := self.store.read(f"{self.root}/log/{n:020d}.json")) is not None:
+            entry = json.loads(data)
+            if self._owner(entry["batch"], n) == n:
+                out.append(entry)
+            n += 1
+        return out, n - 1
 
     def committed(self, batch: str) -> bool:
-        return self.store.read(self._entry(batch)) is not None
+        if self._owner(batch) is None:
+            self._entries(self._whole()[0])  # marks what a lost driver has not
+        return self._owner(batch) is not None
 
     def commit(self, batch: str, rows: DataFrame | Callable[[], DataFrame]) -> bool:
         """Apply a batch of signed counts once; False if its id is committed already.
@@ -108,35 +136,30 @@ class Rollup:
         data = f"sums/{uuid.uuid4().hex}"
         sums.write.parquet(f"{self.folder}/{data}")
         entry = json.dumps({"batch": batch, "data": data}).encode()
-        return self.store.put_if_absent(self._entry(batch), entry)
-
-    def _entries(self) -> list[dict]:
-        read = (self.store.read(f"{self.root}/commits/{n}") for n in self.store.names(f"{self.root}/commits"))
-        return [json.loads(x) for x in read if x]
-
-    def _live(self) -> list[str]:
-        """Folders of sums: the largest compaction and the batches that it has not."""
-        whole = max((json.loads(self.store.read(f"{self.root}/compact/{n}")) for n in self.store.names(f"{self.root}/compact")), key=lambda c: len(c["has"]), default={"has": [], "data": []})
-        return [*whole["data"], *(e["data"] for e in self._entries() if e["data"] not in set(whole["has"]))]
+        start = self._whole()[0]
+        n = self._entries(start)[1] + 1
+        while not self.store.put_if_absent(f"{self.root}/log/{n:020d}.json", entry):
+            n += 1
+        counts = self._owner(batch, n) == n
+        if n - start >= EVERY:
+            self.compact()
+        return counts
+
+    def _sums(self, paths: list[str]) -> DataFrame:
+        schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long"
+        rows = self.spark.read.schema(schema).parquet(*(f"{self.folder}/{p}" for p in paths)) if paths else self.spark.createDataFrame([], schema)
+        return rows.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in SUMS)).where("n_docs <> 0 or n_tokens <> 0 or n_bytes <> 0")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens, n_bytes) of the groups that have documents or tokens left."""
-        schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long"
-        paths = [f"{self.folder}/{d}" for d in self._live()]
-        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-        sums = rows.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in SUMS))
-        return sums.where("n_docs <> 0 or n_tokens <> 0 or n_bytes <> 0")
+        upto, data = self._whole()
+        return self._sums([*([data] if data else []), *(e["data"] for e in self._entries(upto)[0])])
 
     def compact(self) -> None:
-        """Write the totals of what is committed now as one table; readers see one or the other."""
-        entries = self._entries()
-        data = f"sums/{uuid.uuid4().hex}"
-        has = [e["data"] for e in entries]
-        rows = [self.spark.read.parquet(f"{self.folder}/{d}") for d in has]
-        if not rows:
-            return
-        whole = rows[0]
-        for r in rows[1:]:
-            whole = whole.unionByName(r)
-        whole.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in SUMS)).coalesce(1).write.parquet(f"{self.folder}/{data}")
-        self.store.put_if_absent(f"{self.root}/compact/{len(has):09d}-{uuid.uuid4().hex}.json", json.dumps({"has": has, "data": [data]}).encode())
+        """Add the entries since the last compaction to it as one table; readers see one or the other."""
+        upto, old = self._whole()
+        entries, last = self._entries(upto)
+        if last > upto:
+            data = f"sums/{uuid.uuid4().hex}"
+            self._sums([*([old] if old else []), *(e["data"] for e in entries)]).coalesce(1).write.parquet(f"{self.folder}/{data}")
+            self.store.put_if_absent(f"{self.root}/compact/{last:020d}.json", json.dumps({"upto": last, "data": data}).encode())
