@@ -63,3 +63,76 @@ def test_sigmoid():
     good = rng.random(4000) < 1 / (1 + np.exp(-(m / 30 * 2 + 1)))
     slope, offset = nbsvm.sigmoid(m, good)
     assert abs(slope * 30 - 2) < 0.3 and abs(offset - 1) < 0.2
+
+
+def test_dual_descent_is_the_least_loss():
+    """The primal loss against a search over weights and bias."""
+    rng = np.random.default_rng(3)
+    x = np.array([[1, 0, 1], [1, 1, 0], [0, 1, 0], [0, 0, 1], [1, 0, 0], [0, 1, 1], [1, 1, 1], [0, 0, 0], [1, 0, 1], [0, 1, 0]], float)
+    y, ratio, cost = np.array([1, 1, -1, -1, 1, -1, 1, -1, -1, 1.0]), np.array([1.5, -0.7, 0.4]), rng.uniform(0.3, 2, 10)
+    w, b = nbsvm.descend([np.flatnonzero(r) for r in x], y, ratio, cost, epochs=2000)
+    rows = np.hstack([x * ratio, np.ones((10, 1))])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    loss = lambda v: v @ v / 2 + cost @ np.maximum(0, 1 - y * (rows @ v))
+    best = np.zeros(4)
+    for step in (1.0, 0.3, 0.1, 0.03, 0.01, 0.003):
+        for _ in range(4000):
+            new = best + rng.normal(size=4) * step
+            best = new if loss(new) < loss(best) else best
+    assert loss(np.append(w / ratio, b)) <= loss(best) + 1e-3
+
+
+def plain_scores(docs, labels, fit_rows, fit_features):
+    """The whole method by loops over sets of n-grams; docs: (id, text), labels: (id, label)."""
+    votes = {}
+    for i, q in labels:
+        if q is not None and i is not None and zlib.crc32(str(i).encode()) % 5:
+            votes.setdefault(i, []).append(q)
+    grams = lambda t: frozenset(nbsvm.ngrams([(t or "").encode()], nbsvm.BITS)[1].tolist())
+    train = [(i, t or "", sum(votes[i]) / len(votes[i]) >= 0.5) for i, t in docs if i in votes]
+    n = [sum(g == side for _, _, g in train) for side in (False, True)]
+    ratio = np.zeros(1 << nbsvm.BITS)
+    for f in set().union(*(grams(t) for _, t, _ in train)):
+        c = [sum(f in grams(t) for _, t, g in train if g == side) for side in (False, True)]
+        ratio[f] = np.log((c[1] + 1) / (n[1] + 2) / ((c[0] + 1) / (n[0] + 2))) if sum(c) > 1 else 0
+    return train, ratio
+
+
+def test_against_a_plain_fit(spark):
+    rng = np.random.default_rng(8)
+    words = "good fine nice calm BAD!! ugly ###".split()
+    texts = [" ".join(rng.choice(words[:5] if i % 2 else words[3:], 6)) for i in range(60)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(60, None), (61, ""), (7, texts[7]), (7, "other text")]
+    labels = [(i, i % 2) for i in range(62)] + [(4, 1), (5, None)]  # id 4: a tie
+    d = spark.createDataFrame([(*r, 0, "x") for r in docs], "doc_id long, text string, good int, place string")
+    q = spark.createDataFrame([(*r, "y") for r in labels], "doc_id long, quality int, text string")
+    seen = {}
+    fitted = nbsvm._fitted
+    try:
+        nbsvm._fitted = lambda f, g, r: seen.setdefault(len(f), (f, g, r)) and fitted(f, g, r)
+        model = nbsvm.fit(d, q)
+    finally:
+        nbsvm._fitted = fitted
+    train, ratio = plain_scores(docs, labels, nbsvm.FIT_ROWS, nbsvm.FIT_FEATURES)
+    distinct = {(i, t): g for i, t, g in train}
+    features, good, used = seen[len(distinct)]
+    assert np.allclose(used, ratio) and (4, texts[4]) in distinct and (not zlib.crc32(b"4") % 5 or distinct[4, texts[4]])
+    want = sorted((tuple(sorted(nbsvm.ngrams([t.encode()], nbsvm.BITS)[1].tolist())), g) for (_, t), g in distinct.items())
+    assert sorted((tuple(sorted(f.tolist())), bool(g)) for f, g in zip(features, good)) == want
+    weights, bias = fitted(features, good, ratio)
+    assert np.allclose(model.weights, weights) and model.bias == bias and model.slope > 0
+    got = nbsvm.classify(d, q)
+    margin = lambda t: bias + sum(weights[f] for f in nbsvm.ngrams([(t or "").encode()], nbsvm.BITS)[1])
+    by = dict(docs[:60])
+    for r in got.where("doc_id < 60 and doc_id <> 7").collect():
+        assert abs(r.score - 1 / (1 + np.exp(-(model.slope * margin(by[r.doc_id]) + model.offset)))) < 1e-9
+
+
+def test_features_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a{i} b{i % 3} c") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    sizes = []
+    fitted = nbsvm._fitted
+    monkeypatch.setattr(nbsvm, "_fitted", lambda f, g, r: sizes.append(sum(map(len, f))) or fitted(f, g, r))
+    nbsvm.fit(docs, labels, fit_features=500)
+    assert len(sizes) == nbsvm.FOLDS + 1 and 400 < sizes[0] <= 500

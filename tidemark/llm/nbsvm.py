@@ -7,8 +7,9 @@ naive Bayes log-count ratios.
 2. Over the texts of ``LABEL_ROWS`` labels at most, the first by hash of their id, the documents with
    each n-gram are counted per class; the log of the ratio of their smoothed shares scales the indicator.
 3. Dual coordinate descent fits a hinge-loss model with a weight for each class
-   on ``FIT_ROWS`` of these texts at most, each once, the first by hash of text and id; a sigmoid
-   fitted on ``CALIBRATION_ROWS`` others turns margins into probabilities.
+   on ``FIT_ROWS`` of these texts at most with ``FIT_FEATURES`` n-grams at most, each once, the first by hash of text
+   and id. A sigmoid turns margins into probabilities; it is fitted on the margins that each of these rows gets
+   from a model of the other ``FOLDS - 1`` folds.
 4. Every text is scored, whole, where it is read.
 
 Scale. The labels in use are bounded and go to the texts, which are never shuffled. Counts are summed
@@ -35,10 +36,9 @@ from tidemark.llm.shared import materialize
 
 BITS = 18
 LABEL_ROWS = 50_000
-FIT_ROWS = 8000
-CALIBRATION_ROWS = 4000
-#: With fewer rows than both, folds of all rows are calibrated on in turn.
-FOLDS = 5
+FIT_ROWS = 12_000
+FIT_FEATURES = 1 << 24
+FOLDS = 3
 THRESHOLD = 0.3
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -271,7 +271,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
-    bits: int = BITS, label_rows: int = LABEL_ROWS, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS,
+    bits: int = BITS, label_rows: int = LABEL_ROWS, fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES,
 ) -> Model:
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("l_id")).agg(
         (F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("good")
@@ -298,25 +298,23 @@ def fit(
     ratio = np.log(share[1] / share[0])
     ratio[count.sum(0) < 2] = 0
 
-    wanted = fit_rows + calibration_rows
-    share = min(1.0, 1.1 * wanted / docs_of.sum())
+    # A tenth more than wanted by the hash's share, cut to the bounds by sizes before any features come to the driver.
+    share = min(1.0, 1.1 * fit_rows / docs_of.sum())
     picked = train.where(F.col("place") <= min(2**63 - 1, int((share - 0.5) * 2**64)))
     picked = picked.groupBy("place").agg(F.first("text").alias("text"), F.max("good").alias("good")).select("text", "good", "place")
-    sample = picked.mapInArrow(_packed(bits), "features binary, good int, place long").collect()
-    sample = sorted(sample, key=lambda r: (r.place, r.good))[:wanted]
+    packed = materialize(picked.mapInArrow(_packed(bits), "features binary, good int, place long"), "features")
+    sizes = sorted(map(tuple, packed.select("place", (F.octet_length("features") / 4).cast("long")).collect()))[:fit_rows]
+    within = int(np.searchsorted(np.cumsum([n for _, n in sizes]), fit_features, "right"))
+    last = sizes[max(0, within - 1)][0]
+    sample = sorted(packed.where(F.col("place") <= last).collect(), key=lambda r: r.place)
     features = [np.frombuffer(r.features, np.int32) for r in sample]
     good = np.array([r.good > 0 for r in sample])
-    margins = lambda w, b, of: np.array([b + w[f].sum() for f in of])
-    if len(sample) > wanted * 0.9:
-        weights, bias = _fitted(features[:fit_rows], good[:fit_rows], ratio)
-        features, good = features[fit_rows:], good[fit_rows:]
-        return Model(weights, bias, *sigmoid(margins(weights, bias, features), good))
-    # Too few rows to spare any: each is calibrated on by a model that has not seen it.
     weights, bias = _fitted(features, good, ratio)
     fold, unseen = np.arange(len(good)) % FOLDS, np.zeros(len(good))
     for k in range(FOLDS):
         rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        unseen[own] = margins(*_fitted([features[i] for i in rest], good[rest], ratio), [features[i] for i in own])
+        w, b = _fitted([features[i] for i in rest], good[rest], ratio)
+        unseen[own] = [b + w[features[i]].sum() for i in own]
     return Model(weights, bias, *sigmoid(unseen, good))
 
 
