@@ -9,8 +9,9 @@ longest verbatim match. Suffixes that begin with words that no benchmark text
 has in a row are left out of the array; no search could find them.
 
 No shuffle is needed: documents stay where they are read, and the benchmark goes to
-them. Its size is measured first and it goes in blocks of bounded size, one
-pass over a shard for each block, so neither side has to fit in memory.
+them. Its size is measured first and it goes in blocks of ``BLOCK_BYTES`` at most (or one longer item), whose
+index is about forty times that. ``CHAIN`` blocks are broadcast at once and searched in one pass; between passes the
+rows are written and the broadcasts released, so neither side has to fit in memory, at any size of the benchmark.
 
 Cases. A null or wordless document has no words and is never contaminated; a null or
 wordless item has no windows. Equal rows are judged each for itself; rows of
@@ -31,10 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.shared import Written
+
 WINDOW = 13
 #: Bytes of benchmark text in a block, and words of documents in a shard, about.
 BLOCK_BYTES = 2 << 20
 SHARD_WORDS = 2 << 20
+#: Blocks that are broadcast at the same time.
+CHAIN = 4
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
@@ -202,9 +207,18 @@ def _matched(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, ite
     rows = docs.select(docs[text].alias("text"), F.struct(*[docs[c] for c in keep]).alias("row"))
     base = rows.schema
     full = T.StructType([*base.fields, T.StructField("n_words", T.LongType()), T.StructField("matches", T.ArrayType(MATCH))])
+    held, written = [], None
     for block in _blocks(benchmark, item_id, item_text, block_bytes):
-        handle = spark.sparkContext.broadcast(block_of(block, window))
-        rows = rows.mapInArrow(_searched(handle, len(base), SHARD_WORDS), full)
+        if len(held) == CHAIN:
+            before, written = written, Written(spark)
+            rows = written.table(rows, "searched")
+            for handle in held:
+                handle.destroy()
+            if before:
+                before.drop()
+            held = []
+        held.append(spark.sparkContext.broadcast(block_of(block, window)))
+        rows = rows.mapInArrow(_searched(held[-1], len(base), SHARD_WORDS), full)
     return rows.drop("text")
 
 
