@@ -398,8 +398,7 @@ passed("cross_join_small", "SELECT r_name, n_name FROM region CROSS JOIN nation
 passed("theta_join", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 passed("set_ops", """(SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'error') UNION (SELECT o_custkey FROM orders EXCEPT SELECT user_id FROM events)""",
        """(SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'error') UNION (SELECT o_custkey AS user_id FROM orders EXCEPT SELECT user_id FROM events)""")
-passed("set_ops_all", "SELECT event_type FROM events WHERE event_id < 500 EXCEPT ALL SELECT event_type FROM events WHERE event_id < 250")
-passed("set_ops_all_events", "SELECT user_id FROM events EXCEPT ALL SELECT user_id FROM events WHERE event_type = 'purchase'")
+passed("set_ops_all", "SELECT user_id FROM events EXCEPT ALL SELECT user_id FROM events WHERE event_type = 'purchase'")
 passed("topk_per_user", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k <= 3")
 passed("top_orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")
 passed("correlated_subquery", "SELECT c_custkey, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS newest FROM customer")
@@ -411,23 +410,35 @@ passed("date_functions", "SELECT date_trunc('month', o_orderdate) AS m, year(o_o
 passed("pivot", "PIVOT (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM orders) ON o_orderstatus IN ('F', 'O', 'P') USING count(o_orderkey) GROUP BY o_orderpriority",
        "SELECT o_orderpriority, coalesce(F, 0) AS F, coalesce(O, 0) AS O, coalesce(P, 0) AS P FROM (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM orders) PIVOT (count(o_orderkey) FOR o_orderstatus IN ('F', 'O', 'P'))")
 passed("unpivot", "SELECT s_suppkey, what, amount FROM (SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) AS nation, s_acctbal AS balance FROM supplier) UNPIVOT (amount FOR what IN (nation, balance))")
+# Estimates differ between engines: each is held against the exact figure, and SQL says that it has to be near.
+passed("approx_distinct", "SELECT event_type, count(DISTINCT user_id) AS users, TRUE AS near FROM events GROUP BY event_type",
+       "SELECT event_type, users, abs(estimate - users) <= 0.1 * users AS near FROM (SELECT event_type, count(DISTINCT user_id) AS users, approx_count_distinct(user_id, 0.02) AS estimate FROM events GROUP BY event_type)")
+passed("approx_quantiles", "SELECT event_type, count(*) AS n, TRUE AS near FROM events GROUP BY event_type",
+       """WITH found AS (SELECT event_type, element_at(array(0.1D, 0.5D, 0.9D), k + 1) AS q, estimate FROM (
+SELECT event_type, approx_percentile(value, array(0.1, 0.5, 0.9), 10000) AS estimates FROM events GROUP BY event_type) LATERAL VIEW posexplode(estimates) x AS k, estimate),
+held AS (SELECT event_type, q, count(*) AS n, count_if(value <= estimate) / count(*) AS share FROM events JOIN found USING (event_type) GROUP BY event_type, q)
+SELECT event_type, max(n) AS n, bool_and(abs(share - q) <= 0.01) AS near FROM held GROUP BY event_type""")
+passed("sliding_windows", """SELECT hour + to_minutes(CAST(15 * k AS INT)) AS start, count(*) AS n FROM (SELECT time_bucket(INTERVAL '15 minutes', ts) - INTERVAL '45 minutes' AS hour, unnest([0, 1, 2, 3]) AS k FROM events) GROUP BY 1""",
+       "SELECT CAST(window.start AS TIMESTAMP_NTZ) AS start, count(*) AS n FROM events GROUP BY window(CAST(ts AS TIMESTAMP), '1 hour', '15 minutes')")
+passed("session_windows", """SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM (
+SELECT *, ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '6 hours' AS fresh FROM events)) GROUP BY user_id, part""",
+       "SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM events GROUP BY user_id, session_window(CAST(ts AS TIMESTAMP), '6 hours')")
 passed("arg_max_by", "SELECT user_id, arg_max(event_type, event_id) AS last_type, arg_min(event_type, event_id) AS first_type FROM events GROUP BY user_id",
        "SELECT user_id, max_by(event_type, event_id) AS last_type, min_by(event_type, event_id) AS first_type FROM events GROUP BY user_id")
 passed("list_functions", "SELECT o_custkey, list_sort(list(o_orderkey)) AS orders_of, list_sum(list(o_orderkey)) AS total FROM orders GROUP BY o_custkey".replace("list_sum(list(o_orderkey))", "CAST(sum(o_orderkey) AS BIGINT)"),
        "SELECT o_custkey, array_sort(collect_list(o_orderkey)) AS orders_of, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders GROUP BY o_custkey")
-passed("lateral_top", "SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderkey LIMIT 1)",
-       "SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT min(o_orderkey) AS o_orderkey FROM orders WHERE o_custkey = c_custkey) WHERE o_orderkey IS NOT NULL")
+passed("lateral_top", "SELECT c_custkey, o_orderkey, o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 3)")
 passed("try_cast_values", "SELECT doc_id, TRY_CAST(lang AS INTEGER) AS as_int, TRY_CAST(substr(source, 4) AS INTEGER) AS num FROM documents")
 
 
 passed("recursive_cte", "WITH RECURSIVE up AS (SELECT 1 AS n, CAST(1 AS BIGINT) AS f UNION ALL SELECT n + 1, f * (n + 1) FROM up WHERE n < 15) SELECT n, f, (SELECT count(*) FROM region) AS regions FROM up")
 passed("struct_and_map", """SELECT n_nationkey, s.a AS a, s.b AS b, m['k'][1] AS v FROM (SELECT n_nationkey, struct_pack(a := n_name, b := n_regionkey) AS s, MAP {'k': [n_regionkey, n_nationkey]} AS m FROM nation)""",
        """SELECT n_nationkey, s.a AS a, s.b AS b, element_at(m['k'], 1) AS v FROM (SELECT n_nationkey, named_struct('a', n_name, 'b', n_regionkey) AS s, map('k', array(n_regionkey, n_nationkey)) AS m FROM nation)""")
-passed("unnest_words", "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(left(text, 200)), ' ')) AS w FROM documents) GROUP BY doc_id, w",
-       "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, explode(split(lower(left(text, 200)), ' ')) AS w FROM documents) GROUP BY doc_id, w")
-passed("unnest_all_words", "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) GROUP BY doc_id, w",
+passed("unnest_words", "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) GROUP BY doc_id, w",
        "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, explode(split(lower(text), ' ')) AS w FROM documents) GROUP BY doc_id, w")
-passed("in_subquery", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT user_id FROM events WHERE value > 150) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+passed("in_subquery", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT user_id FROM events WHERE value > 150) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
+       # NOT IN would have to be null-aware, which Spark plans as a broadcast of the whole side.
+       "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT user_id FROM events WHERE value > 150) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 passed("math_functions", "SELECT s_suppkey, round(abs(s_acctbal), 1) AS a, floor(s_acctbal) AS f, ceil(s_acctbal) AS c, s_suppkey % 7 AS m, power(2, s_suppkey % 10) AS p, sign(s_acctbal) AS s FROM supplier".replace("floor(s_acctbal)", "CAST(floor(s_acctbal) AS BIGINT)").replace("ceil(s_acctbal)", "CAST(ceil(s_acctbal) AS BIGINT)").replace("sign(s_acctbal)", "CAST(sign(s_acctbal) AS INTEGER)"))
 
 
@@ -480,13 +491,7 @@ def asof_latest_event(spark, sf_dir):
     return asof_join(orders, single, ["user_id"], "ts", ["event_id", "value"], "date_trunc('day', ts)").select("o_orderkey", "event_id", "value")
 
 
-@query("SELECT event_id, p_partkey FROM events JOIN part ON value >= p_retailprice / 10 AND value < p_retailprice / 10 + p_size / 100.0 WHERE p_partkey % 10 = 0")
-def range_join_prices(spark, sf_dir):
-    ranges = read(spark, sf_dir, "part").where("p_partkey % 10 = 0").select("p_partkey", (F.col("p_retailprice") / 10).alias("low"), (F.col("p_retailprice") / 10 + F.col("p_size") / 100.0).alias("high"))
-    return range_join(read(spark, sf_dir, "events").select("event_id", "value"), ranges, "value", "low", "high", 1.0).select("event_id", "p_partkey")
-
-
 @query("SELECT event_id, p_partkey FROM events JOIN part ON value >= p_retailprice / 10 AND value < p_retailprice / 10 + p_size / 100.0")
-def range_join_all_prices(spark, sf_dir):
+def range_join_prices(spark, sf_dir):
     ranges = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / 10).alias("low"), (F.col("p_retailprice") / 10 + F.col("p_size") / 100.0).alias("high"))
     return range_join(read(spark, sf_dir, "events").select("event_id", "value"), ranges, "value", "low", "high", 1.0).select("event_id", "p_partkey")
