@@ -9,8 +9,9 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import Backfill, ElasticRunner, EtcdClaimStore, FileClaimStore, JsonCheckpointStore, LocalClaimStore, StaleWriter, open_claim_store, run_worker
+from tidemark import Backfill, ElasticRunner, EtcdClaimStore, FileClaimStore, JsonCheckpointStore, LeaseLost, LocalClaimStore, StaleWriter, open_claim_store, run_worker
 from tidemark.coordination import claims as claims_module
+from tidemark.coordination.claims import Hold
 from tidemark.functions.offsets import buckets
 
 
@@ -32,23 +33,36 @@ class Etcd(BaseHTTPRequestHandler):
     def log_message(self, *a):
         pass
 
+    leases: dict = {}
+
     def grant(self, body):
-        return {"ID": "7", "TTL": body["TTL"]}
+        name = str(len(Etcd.leases) + 7)
+        Etcd.leases[name] = "granted"
+        return {"ID": name, "TTL": body["TTL"]}
+
+    def keepalive(self, body):
+        return {"result": {"ID": body["ID"], "TTL": "30" if self.leases.get(body["ID"]) == "granted" else "0"}}
+
+    def revoke(self, body):
+        self.leases[body["ID"]] = "revoked"
+        for k in [k for k, v in self.data.items() if v[2] == body["ID"]]:
+            del self.data[k]
+        return {}
 
     def range(self, body):
         lo, hi = base64.b64decode(body["key"]), base64.b64decode(body.get("range_end", ""))
         found = [(k, v) for k, v in self.data.items() if (lo <= k < hi if hi else k == lo)]
-        return {"kvs": [{"value": v, "mod_revision": str(r)} for _, (v, r) in found]} if found else {}
+        return {"kvs": [{"value": v, "mod_revision": str(r)} for _, (v, r, _) in found]} if found else {}
 
     def txn(self, body):
         c = body["compare"][0]
         key = base64.b64decode(c["key"])
-        if self.data.get(key, (None, 0))[1] != int(c["mod_revision"]):
+        if self.data.get(key, (None, 0, None))[1] != int(c["mod_revision"]):
             return {}
         Etcd.revision += 1
         change = body["success"][0]
         if "request_put" in change:
-            self.data[key] = (change["request_put"]["value"], Etcd.revision)
+            self.data[key] = (change["request_put"]["value"], Etcd.revision, change["request_put"].get("lease"))
         else:
             self.data.pop(key, None)
         return {"succeeded": True}
@@ -62,7 +76,7 @@ def claims(request, tmp_path):
     elif request.param == "files":
         yield FileClaimStore(None, str(tmp_path / "claims"))
     else:
-        Etcd.data = {}
+        Etcd.data, Etcd.leases = {}, {}
         server = ThreadingHTTPServer(("127.0.0.1", 0), Etcd)
         threading.Thread(target=server.serve_forever, daemon=True).start()
         yield EtcdClaimStore("127.0.0.1", server.server_address[1])
@@ -90,7 +104,7 @@ def test_claims(claims):
 
 def test_lapsed_leases(claims, monkeypatch):
     now = [1_000_000]
-    monkeypatch.setattr(claims_module, "now_ms", lambda: now[0])
+    monkeypatch.setattr(claims_module, "deadline", lambda seconds: now[0] + int(seconds * 1000))
     assert claims.claim("s", "a", 2)
     claims.bookmark("s", "a", 5)
     now[0] += 1999
@@ -100,6 +114,33 @@ def test_lapsed_leases(claims, monkeypatch):
     assert claims.get("s").worker == "b" and claims.get("s").bookmark_offset == 5 and not claims.renew("s", "a", 2)
 
 
+def test_a_claim_has_one_lease(claims):
+    if not isinstance(claims, EtcdClaimStore):
+        pytest.skip("leases of etcd")
+    assert claims.claim("s", "a", 30)
+    for k in range(5):
+        assert claims.renew("s", "a", 30)
+        claims.bookmark("s", "a", k)
+    assert not claims.claim("s", "b", 30) and list(Etcd.leases.values()) == ["granted"]
+    claims.complete("s", "a")
+    assert claims.get("s").status == "done" and set(Etcd.leases.values()) == {"revoked"}
+    assert claims.claim("t", "a", 30)
+    claims.release("t", "a")
+    assert claims.get("t") is None and set(Etcd.leases.values()) == {"revoked"}
+
+
+def test_a_hold_outlives_its_time(claims):
+    assert claims.claim("s", "a", 1.2)
+    with Hold(claims, ["s"], "a", 1.2) as hold:
+        time.sleep(2)
+        assert hold.renew() and not claims.claim("s", "b", 1)
+    time.sleep(1.5)
+    assert claims.claim("s", "b", 30)
+    with Hold(claims, ["s"], "a", 0.1) as hold:
+        time.sleep(0.2)
+        assert hold.lost and not hold.renew()
+
+
 def test_a_race_has_one_winner(claims):
     won, gate = [], threading.Barrier(12)
 
@@ -192,15 +233,15 @@ def test_another_worker_goes_on_from_the_sink(big, tmp_path):
 
 def test_a_worker_that_lost_its_lease_writes_nothing(big, tmp_path):
     with LocalClaimStore(str(tmp_path / "c.db")) as claims:
-        def slow(d):
-            time.sleep(0.1)
+        def robbed(d):
+            claims.release("load.bucket0", "zombie")
             return over_100(d)
 
-        # Its leases lapse during the transform; it must not commit, and another does the work.
-        zombie = ElasticRunner(big.source("s"), big.source("t"), slow, name="load", num_buckets=1, claim_store=claims, worker="zombie", ttl=0.05)
-        claims.claim("load.bucket0", "zombie", 0.05)
-        with pytest.raises(Exception):
-            zombie._drain("load.bucket0", -1, 2999)
+        # Its lease goes during the transform; it must not commit, and another does the work.
+        zombie = ElasticRunner(big.source("s"), big.source("t"), robbed, name="load", num_buckets=1, claim_store=claims, worker="zombie")
+        claims.claim("load.bucket0", "zombie", 30)
+        with pytest.raises(LeaseLost):
+            zombie.drain(zombie.buckets[0])
         assert not big.exists("t") or big.table("t").read().count() == 0
         run_worker(big.source("s"), big.source("t"), over_100, name="load", num_buckets=1, claim_store=claims)
         with pytest.raises(StaleWriter):
@@ -208,6 +249,17 @@ def test_a_worker_that_lost_its_lease_writes_nothing(big, tmp_path):
     check(big)
 
 
+def test_a_chunk_longer_than_its_lease_is_kept(big, tmp_path):
+    with LocalClaimStore(str(tmp_path / "c.db")) as claims:
+        def slow(d):
+            time.sleep(0.5)
+            return over_100(d)
+
+        stats = run_worker(big.source("s"), big.source("t"), slow, name="load", num_buckets=1, claim_store=claims, ttl=0.3, idle_sleep=0.02)
+        assert stats["chunks"] == 1 and stats["buckets_completed"] == ["load.bucket0"]
+    check(big)
+
+
 def test_transform_sees_offsets(spark, big, tmp_path):
     with LocalClaimStore(str(tmp_path / "c.db")) as claims:
         run_worker(big.source("s"), big.source("t"), lambda d: d.where("_offset % 2 = 0"), name="x", num_buckets=3, claim_store=claims)
@@ -230,6 +282,16 @@ def test_backfill(big, tmp_path, kept):
         Backfill(big.source("s"), big.source("t"), over_100, num_shards=0)
 
 
+def test_backfill_reads_the_source_once(big, monkeypatch):
+    source, reads = big.source("s"), []
+    since = source.read_since
+    monkeypatch.setattr(source, "read_since", lambda *a: reads.append(a) or since(*a))
+    work = Backfill(source, big.source("t"), over_100, num_shards=4)
+    assert work.run(3) == 750 and work.run() == 2250 and len(reads) == 2
+    check(big)
+    assert set(big.source("t").read_offsets().values()) == {2999} and work.run() == 0 and len(reads) == 2
+
+
 def test_backfill_stops_at_until_and_resumes(big):
     calls = []
 

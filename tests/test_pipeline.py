@@ -3,6 +3,7 @@
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import IncrementalAggregate, JsonCheckpointStore, LogTable, Pipeline, StaleWriter, Total, connect, dedup_latest, fingerprint, latest_by_key, session, sql
@@ -104,6 +105,20 @@ def test_upsert_wants_an_order_after_a_shuffle(spark, lake):
     grouped = lambda d: d.groupBy("user_id", "value").count().drop("count")
     with pytest.raises(ValueError, match="order_by"):
         lake.model(source="s", sink="t", start="earliest", mode="upsert", key="user_id", name="a")(grouped).run(once=True)
+    last = W.partitionBy("user_id").orderBy("value")
+    same = lambda f: f
+    dealt = [
+        lambda d: d.groupBy("value").applyInPandas(same, d.schema), lambda d: d.union(d.limit(0)), lambda d: d.withColumn("n", F.row_number().over(last)).drop("n"),
+        lambda d: d.sortWithinPartitions("value"), lambda d: d.repartition(2), lambda d: d.distinct(), lambda d: d.join(d.select("value").distinct(), "value").select("user_id", "value"),
+        lambda d: d.mapInPandas(same, d.schema), lambda d: spark.createDataFrame(d.toPandas()), lambda d: d.limit(1),
+    ]
+    for k, f in enumerate(dealt):
+        with pytest.raises(ValueError, match="order_by"):
+            lake.model(source="s", sink="t", start="earliest", mode="upsert", key="user_id", name=f"c{k}")(f).run(once=True)
+    assert not lake.exists("t")
+    row_wise = lambda d: d.alias("x").where("x.value < 9").withColumn("w", F.upper(F.lit("a"))).select("user_id", "value").filter("w = 'A'").withColumnRenamed("value", "v").select("user_id", F.col("v").alias("value"))
+    lake.model(source="s", sink="u", start="earliest", mode="upsert", key="user_id", name="d")(row_wise).run(once=True)
+    assert got(lake.table("u").read()) == [(1, 2)]
     lake.model(source="s", sink="t", start="earliest", mode="upsert", key="user_id", order_by="value", name="b")(grouped).run(once=True)
     assert got(lake.table("t").read()) == [(1, 2)]
 

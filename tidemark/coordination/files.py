@@ -9,11 +9,11 @@ from urllib.parse import quote, unquote
 
 from pyspark.sql import SparkSession
 
-from tidemark.coordination.claims import Claim, CasClaimStore
+from tidemark.coordination.claims import Claim, ClaimStore
 from tidemark.sources.log_store import store_for
 
 
-class FileClaimStore(CasClaimStore):
+class FileClaimStore(ClaimStore):
     def __init__(self, spark: SparkSession | None, folder: str):
         self.store, self.root = store_for(spark, folder.rstrip("/"))
 

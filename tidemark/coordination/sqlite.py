@@ -6,10 +6,10 @@ import os
 import sqlite3
 import threading
 
-from tidemark.coordination.claims import Claim, CasClaimStore
+from tidemark.coordination.claims import Claim, ClaimStore
 
 
-class LocalClaimStore(CasClaimStore):
+class LocalClaimStore(ClaimStore):
     def __init__(self, path: str):
         if os.path.dirname(path):
             os.makedirs(os.path.dirname(path), exist_ok=True)

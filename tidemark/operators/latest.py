@@ -31,7 +31,7 @@ def latest_by_key(rows: DataFrame, keys: list[str], order: str = OFFSET) -> Data
 def dedup_latest(rows: DataFrame, keys: list[str], order_by: str | None = None) -> DataFrame:
     """The last row for each key: by ``order_by``, then by the rows' own order.
 
-    Rows keep their order only through row-wise steps; :func:`reorders` tells.
+    Rows keep their order only through row-wise steps; :func:`row_wise` tells.
     Rows with a null in their key are all kept, since they equal nothing.
     """
     place, alone = unique("place"), unique("alone")
@@ -44,15 +44,21 @@ def dedup_latest(rows: DataFrame, keys: list[str], order_by: str | None = None)
     return _greatest(placed, [*keys, alone], order, [*rows.columns, alone]).select(*rows.columns)
 
 
-_REORDER = ("Aggregate", "Join", "Window", "Repartition", "Distinct", "Expand", "Except", "Intersect")
+#: Steps of an analysed plan that keep rows where they are.
+_ROW_WISE = ("Project", "Filter", "SubqueryAlias")
 
 
-def reorders(before: DataFrame, after: DataFrame) -> bool:
-    """Whether what was done to ``before`` to get ``after`` may have changed the rows' order."""
+def row_wise(before: DataFrame, after: DataFrame) -> bool:
+    """Whether ``after`` is ``before`` through projections and filters alone, which keep the rows' order.
 
-    def count(df: DataFrame, what) -> int:
-        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
-        return sum(line.lstrip(" :+-").startswith(what) for line in lines)
-
-    # Under an aggregate the optimizer drops a sort, so fewer sorts tell as well as more.
-    return count(after, _REORDER) > count(before, _REORDER) or count(after, "Sort") != count(before, "Sort")
+    Anything else, also what is not known, may deal rows anew.
+    """
+    try:
+        start, step = (d._jdf.queryExecution().analyzed() for d in (before, after))
+    except AttributeError:  # a session without a JVM beside it
+        return False
+    while not step.fastEquals(start):
+        if step.getClass().getSimpleName() not in _ROW_WISE:
+            return False
+        step = step.child()
+    return True

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidemark.operators.latest import dedup_latest, reorders
+from tidemark.operators.latest import dedup_latest, row_wise
 from tidemark.sources.adapters import DeltaFormat, IcebergFormat
 from tidemark.sources.log_table import ANY, LogTable
 from tidemark.sources.table_format import OFFSET, TableFormat
@@ -51,8 +51,8 @@ class Pipeline:
     ``append`` adds the transform's rows; ``upsert`` keeps the last of each ``key`` in a batch and merges by
     key. With positions in the sink, rows and position are one commit, and the commit expects the position that
     the batch began at, so two runs of one name cannot both write it. ``order_by`` names the column that
-    tells rows of one key apart in time; without it an upsert's transform must be row-wise, since it
-    is then the source's order that counts.
+    tells rows of one key apart in time; without it an upsert's transform must be made of projections and filters
+    of its input, since it is then the source's order that counts, and the batch is sorted by offset.
     """
 
     def __init__(self, source: TableFormat, sink: TableFormat, transform: Callable[[DataFrame], Any], name: str, start: str | int = "latest",
@@ -72,8 +72,8 @@ class Pipeline:
         given = ordered.drop(OFFSET)
         out = frame(batch.sparkSession, self.transform(given))
         if self.mode == "upsert":
-            if self.order_by is None and isinstance(out, DataFrame) and reorders(given, out):
-                raise ValueError(f"{self.name}: the transform deals rows anew, so the last row of a key cannot be told; give order_by")
+            if self.order_by is None and not row_wise(given, out):
+                raise ValueError(f"{self.name}: the transform is more than projections and filters, so the last row of a key cannot be told; give order_by")
             out = dedup_latest(out, self.keys, self.order_by)
         return out
 
