@@ -246,6 +246,57 @@ def test_hadoop_store(spark, tmp_path):
     assert store.names(f"file://{tmp_path}/x") == [] and store.read(path) is None
     assert store.put_if_absent(path, b"\x00one") and not store.put_if_absent(path, b"two")
     assert store.read(path) == b"\x00one" and store.names(f"file://{tmp_path}/x") == ["1.json"]
+    store.replace(path, b"three")
+    assert store.read(path) == b"three" and store.names(f"file://{tmp_path}/x") == ["1.json"]
+
+
+def test_old_changes_are_read_from_the_log(spark, table, monkeypatch):
+    monkeypatch.setattr(module, "OPS", 2)
+    table.append(rows(spark, ("a", 1), ("b", 2)))
+    at = table.marker()
+    for k in range(4):
+        table.update("k = 'a'", {"value": F.lit(k + 7)})
+    table.delete("k = 'b'")
+    assert len(table.state().ops) == 2
+    assert table.changes_since(at) == (["update"] * 4 + ["delete"], at + 5) and table.changes_since(at + 2)[0] == ["update", "update", "delete"]
+    assert LogTable(spark, table.path).changes_since(None)[0] == ["update"] * 4 + ["delete"]
+
+
+def test_upserts_read_only_files_that_may_have_their_keys(spark, table, monkeypatch):
+    for k in "aceg":
+        table.upsert(rows(spark, (k, 1), (f"{k}z", 1), (None, 0)).coalesce(1), ["k"])
+    read = []
+    scan = LogTable._scan
+    monkeypatch.setattr(LogTable, "_scan", lambda self, paths, *a, **w: read.append(len(paths)) or scan(self, paths, *a, **w))
+    table.upsert(rows(spark, ("c", 5), ("d", 6)), ["k"])
+    assert read[0] == 1
+    read.clear()
+    table.upsert(rows(spark, ("h", 1)), ["k"])
+    assert read == []
+    monkeypatch.undo()
+    assert got(table.read().where("k is not null")) == [("a", 1), ("az", 1), ("c", 5), ("cz", 1), ("d", 6), ("e", 1), ("ez", 1), ("g", 1), ("gz", 1), ("h", 1)]
+    assert table.read().where("k is null").count() == 4
+
+
+def test_states_wait_where_there_are_many_files(spark, table, monkeypatch):
+    monkeypatch.setattr(module, "CHECKPOINT", 2)
+    monkeypatch.setattr(module, "FILES_A_VERSION", 1)
+    for k in range(12):
+        table.append(rows(spark, ("a", k)))
+    kept = [int(n[:20]) for n in table.store.names(f"{table.root}/_log") if n.endswith(".state")]
+    assert kept and all(b - a >= a / 2 for a, b in zip(kept, kept[1:])) and LogTable(spark, table.path).read().count() == 12
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tidemark.sources import scratch
+
+    on = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master, applicationId="x"))
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://h"):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            scratch.scratch_root(on(master))
+    assert scratch.scratch_root(on("local[4]")).startswith("file://")
 
 
 def test_tables_of_other_stores(spark, tmp_path, monkeypatch):

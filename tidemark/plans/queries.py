@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.coordination import LocalClaimStore
+from tidemark.coordination import FileClaimStore
 from tidemark.functions.sql import sql
 from tidemark.operators.asof import asof_join, range_join
 from tidemark.operators.changes import apply_changes
@@ -131,7 +131,7 @@ def resume_after_crash(spark, sf_dir):
 @query("SELECT count(*) AS before_poll, count(*) AS after_poll, CAST(0 AS BIGINT) AS after_commit, count(*) - 100 AS after_seek FROM events")
 def consumer_lag(spark, sf_dir):
     source = logged(spark, sf_dir).source("bronze.events")
-    store = JsonCheckpointStore(f"{scratch_path(spark, 'positions').removeprefix('file://')}.json")
+    store = JsonCheckpointStore(f"{scratch_path(spark, 'positions')}.json", spark)
     c = Consumer(source, "reader", store, start="earliest")
     lags = [c.lag()]
     c.poll()
@@ -242,7 +242,7 @@ def backfill_shard(spark, sf_dir):
 @query(CLEAN)
 def elastic_buckets(spark, sf_dir):
     db = logged(spark, sf_dir, 2)
-    with LocalClaimStore(scratch_path(spark, "claims").removeprefix("file://") + ".db") as claims:
+    with FileClaimStore(spark, scratch_path(spark, "claims")) as claims:
         run_worker(db.source("bronze.events"), db.source("silver.events"), lambda d: clean(d).drop(OFFSET), name="load", num_buckets=6, claim_store=claims)
     return db.table("silver.events").read()
 

@@ -43,6 +43,15 @@ class LocalStore:
         finally:
             os.unlink(temp)
 
+    def replace(self, path: str, data: bytes) -> None:
+        """Write a whole file in the place of whatever is there."""
+        folder = os.path.dirname(os.path.abspath(path))
+        os.makedirs(folder, exist_ok=True)
+        handle, temp = tempfile.mkstemp(prefix=".", suffix=".tmp", dir=folder)
+        with os.fdopen(handle, "wb") as f:
+            f.write(data)
+        os.replace(temp, path)
+
     def read(self, path: str) -> bytes | None:
         try:
             return Path(path).read_bytes()
@@ -66,17 +75,29 @@ class HadoopStore:
         jpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return jpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
-    def put_if_absent(self, path: str, data: bytes) -> bool:
-        files, target = self._fs(path)
-        if files.exists(target):
-            return False
-        folder = path.rsplit("/", 1)[0]
-        _, temp = self._fs(f"{folder}/.{uuid.uuid4().hex}.tmp")
+    def _beside(self, files, path: str, data: bytes):
+        """A new file in the folder of ``path``."""
+        _, temp = self._fs(f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}.tmp")
         out = files.create(temp, False)
         try:
             out.write(bytearray(data))
         finally:
             out.close()
+        return temp
+
+    def replace(self, path: str, data: bytes) -> None:
+        files, target = self._fs(path)
+        temp = self._beside(files, path, data)
+        jvm = self.spark.sparkContext._jvm
+        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(temp, target, how)
+
+    def put_if_absent(self, path: str, data: bytes) -> bool:
+        files, target = self._fs(path)
+        if files.exists(target):
+            return False
+        temp = self._beside(files, path, data)
         done = files.rename(temp, target)
         if not done:
             files.delete(temp, False)

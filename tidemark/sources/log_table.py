@@ -10,10 +10,11 @@ writes its rows once, in one job, and a lost race rewrites the JSON alone. Files
 offsets, or were rewritten, keep them in a column. Either way an entry has
 the least and greatest offset, so a range read opens only files that can match.
 
-Scale. The log is folded once and then extended; every ``CHECKPOINT`` versions a whole state is written
-beside it. Row counts come from the footers on the driver, or by a job when
+Scale. The log is folded once and then extended; a whole state is written beside it every ``CHECKPOINT`` versions, and more
+rarely where there are many files, so that what is written for states stays in proportion to the commits. Row counts come from the footers on the driver, or by a job when
 there are many files or another store. Upserts, deletes and updates rewrite the files that hold a touched
-row and no others.
+row and no others; an upsert looks for them only in files whose least and greatest key, which the log has, meet those of
+its batch.
 """
 
 from __future__ import annotations
@@ -35,10 +36,15 @@ from tidemark.sources.log_store import local_path, store_for
 from tidemark.sources.table_format import MARKER, OFFSET, CommitConflict, StaleWriter
 
 CHECKPOINT = 20
+#: Files for each of which a state waits a version longer.
+FILES_A_VERSION = 100
+#: Changes in place that a state remembers; older ones are read from the log again.
+OPS = 256
 TRIES = 8
-#: Files whose footers the driver reads itself, and offsets bases put into the plan as a literal.
+#: Files whose footers the driver reads itself; files whose first offsets go into the plan as a literal, and are broadcast.
 FOOTERS = 1000
-LITERAL_FILES = 500
+LITERAL_FILES = 8
+BROADCAST_FILES = 50_000
 #: Commits that change rows that a reader may have passed.
 CHANGING = ("upsert", "overwrite", "delete", "update")
 ANY = object()
@@ -54,7 +60,9 @@ class State:
     offsets: dict[str, int] = field(default_factory=dict)
     #: The greatest offset ever given; it stays when its row goes.
     high: int = -1
+    #: The last changes in place, and the version up to which they were dropped.
     ops: list[tuple[int, str]] = field(default_factory=list)
+    ops_after: int = -1
 
     def take(self, c: dict) -> None:
         self.version = c["version"]
@@ -67,6 +75,8 @@ class State:
         self.offsets |= c["offsets"]
         if c["op"] in CHANGING:
             self.ops.append((c["version"], c["op"]))
+            if len(self.ops) > OPS:
+                self.ops_after = self.ops.pop(0)[0]
 
 
 def retrying(attempt: Callable[[], None], tries: int = TRIES) -> None:
@@ -80,6 +90,24 @@ def retrying(attempt: Callable[[], None], tries: int = TRIES) -> None:
             time.sleep(min(2.0, 0.05 * 2**k) * (0.5 + random.random()))
 
 
+def _bounds(meta: pq.FileMetaData, column: str) -> tuple | None:
+    """A column's least and greatest value by a file's footer; None where it does not say, or not in whole numbers or strings."""
+    at = next((i for i in range(meta.num_columns) if meta.schema.column(i).path == column), None)
+    if at is None or not meta.num_row_groups:
+        return None
+    stats = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+    if not all(x is not None and x.has_min_max and type(x.min) in (int, str) for x in stats):
+        return None
+    return min(x.min for x in stats), max(x.max for x in stats)
+
+
+def _meet(one: dict, others: list[dict]) -> bool:
+    """Whether a file may hold a key of one of the others, by their ranges."""
+    have = one.get("keys", {})
+    apart = lambda o: any(have[k][0] > hi or have[k][1] < lo for k, (lo, hi) in o.get("keys", {}).items() if k in have)
+    return not all(apart(o) for o in others)
+
+
 class LogTable:
     """A table in a folder; see the module. ``offset_column`` is how readers see offsets."""
 
@@ -87,6 +115,8 @@ class LogTable:
         self.spark, self.path, self.offset_column = spark, path.rstrip("/"), offset_column
         self.store, self.root = store_for(spark, self.path)
         self._state = State()
+        #: The newest version known to have a whole state.
+        self._saved = 0
         self._lock = threading.RLock()
 
     def __repr__(self) -> str:
@@ -116,6 +146,7 @@ class LogTable:
             if good and (data := self.store.read(f"{self.root}/_log/{good[-1]}")):
                 state.__dict__.update(json.loads(data))
                 state.ops = [tuple(x) for x in state.ops]
+                self._saved = max(self._saved, state.version)
         while until is None or state.version < until:
             data = self.store.read(self._entry(state.version + 1))
             if data is None:
@@ -161,7 +192,8 @@ class LogTable:
         if not self.store.put_if_absent(self._entry(commit["version"]), json.dumps(commit).encode()):
             raise CommitConflict(f"version {commit['version']} of {self.path} is taken")
         state.take(commit)
-        if state.version and state.version % CHECKPOINT == 0:
+        if state.version - self._saved >= max(CHECKPOINT, len(state.files) // FILES_A_VERSION):
+            self._saved = state.version
             self.store.put_if_absent(f"{self.root}/_log/{state.version:020d}.state", json.dumps(state.__dict__).encode())
 
     def create(self, schema: T.StructType) -> LogTable:
@@ -194,8 +226,8 @@ class LogTable:
         have = {f.name: f.dataType for f in data.schema.fields}
         return data.select(*(data[f.name] if have[f.name] == f.dataType else data[f.name].cast(f.dataType).alias(f.name) for f in want)), physical
 
-    def _write(self, data: DataFrame, physical: bool) -> list[dict]:
-        """Write rows under a name of their own; their entries, in row order."""
+    def _write(self, data: DataFrame, physical: bool, keys: list[str] = ()) -> list[dict]:
+        """Write rows under a name of their own; their entries, in row order, with the ranges of ``keys`` where the driver can tell."""
         folder = f"data/{uuid.uuid4().hex}"
         data.write.parquet(f"{self.path}/{folder}")
         local = local_path(f"{self.path}/{folder}")
@@ -205,12 +237,9 @@ class LogTable:
         if local and len(names) <= FOOTERS:
             for name in names:
                 meta = pq.read_metadata(f"{local}/{name}")
-                low = high = None
-                if with_offsets and meta.num_rows:
-                    at = meta.schema.to_arrow_schema().names.index(self.offset_column)
-                    stats = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
-                    low, high = min(s.min for s in stats), max(s.max for s in stats)
-                entries.append({"path": f"{folder}/{name}", "rows": meta.num_rows, "min": low, "max": high, "physical": physical})
+                low, high = _bounds(meta, self.offset_column) if with_offsets and meta.num_rows else (None, None)
+                ranges = {k: found for k in keys if (found := _bounds(meta, k)) is not None}
+                entries.append({"path": f"{folder}/{name}", "rows": meta.num_rows, "min": low, "max": high, "physical": physical, **({"keys": ranges} if ranges else {})})
         else:
             found = self.spark.read.parquet(f"{self.path}/{folder}").groupBy(F.col("_metadata.file_name").alias("name"))
             off = F.col(self.offset_column) if with_offsets else F.lit(None).cast("long")
@@ -245,11 +274,11 @@ class LogTable:
         names = {r[0] for r in rows.select("_file").distinct().collect()}
         return [p for p in self.state().files if p.rsplit("/", 1)[1] in names]
 
-    def _rewritten(self, paths: list[str], keep: Callable[[DataFrame], DataFrame]) -> list[dict]:
+    def _rewritten(self, paths: list[str], keep: Callable[[DataFrame], DataFrame], keys: list[str] = ()) -> list[dict]:
         if not paths:
             return []
         rows = keep(self._scan(paths, with_offset=True))
-        return self._write(rows.select(*self.schema.names), True)
+        return self._write(rows.select(*self.schema.names), True, keys)
 
     def upsert(self, data: DataFrame, keys: list[str], offsets: dict[str, int] | None = None, expect: dict | None = None) -> None:
         """Rows of ``data`` replace those with equal keys, others are added; all get new offsets.
@@ -260,15 +289,15 @@ class LogTable:
         if self.offset_column in data.columns:
             data = data.drop(self.offset_column)
         data, _ = self._shaped(data)
-        new = self._write(data, not self.has_offsets())
+        new = self._write(data, not self.has_offsets(), keys)
         source = self._parquet([f["path"] for f in new], with_offset=False) if new else None
         wanted = None if source is None else source.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
         on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
 
         def attempt() -> None:
-            live = list(self.state().files)
-            touched = self._touched(self._scan(live, file_name=True).join(wanted, on, "left_semi")) if live and wanted is not None else []
-            kept = self._rewritten(touched, lambda rows: rows.join(wanted, on, "left_anti"))
+            near = [p for p, f in self.state().files.items() if _meet(f, new)]
+            touched = self._touched(self._scan(near, file_name=True).select(*keys, "_file").join(wanted, on, "left_semi")) if near else []
+            kept = self._rewritten(touched, lambda rows: rows.join(wanted, on, "left_anti"), keys)
             self._publish("upsert" if touched else "append", [*kept, *new], touched, offsets, expect=expect)
 
         retrying(attempt)
@@ -334,6 +363,8 @@ class LogTable:
                 first = F.create_map(*(F.lit(x) for kv in bases.items() for x in kv))[F.col("_file")]
             else:
                 named = self.spark.createDataFrame(list(bases.items()), "_name string, _base long")
+                # A row of some 100 bytes for each file.
+                named = F.broadcast(named) if len(bases) <= BROADCAST_FILES else named
                 rows, first = rows.join(named, F.col("_file") == F.col("_name")), F.col("_base")
             rows = rows.withColumn(self.offset_column, (first + F.col("_row")).cast("long"))
             parts.append(rows.select(*schema.names, *(["_file"] if file_name else [])))
@@ -437,8 +468,10 @@ class LogTable:
         return None if v < 0 else v
 
     def changes_since(self, marker: int | None) -> tuple[list[str], int | None]:
-        now = self.marker()
-        return [op for v, op in self.state().ops if marker is None or v > marker], now
+        state, after = self.state(), -1 if marker is None else marker
+        older = (json.loads(self.store.read(self._entry(v))) for v in range(after + 1, state.ops_after + 1))
+        ops = [c["op"] for c in older if c["op"] in CHANGING]
+        return ops + [op for v, op in state.ops if v > after], self.marker()
 
     def read_changes(self, since: int, keys: list[str], until: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, int]:
         """(inserts, updates, deletes, version): what turns version ``since`` into ``until``, by key.

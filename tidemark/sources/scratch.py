@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,13 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where that is unset, as in
-    tests on one machine, a temporary folder of our own."""
+    """``spark.checkpoint.dir`` of the session; where that is unset and all runs in one
+    process, as in tests, a temporary folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master) is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import threading
 
+from pyspark.sql import SparkSession
+
+from tidemark.sources.log_store import store_for
 from tidemark.sources.table_format import MARKER, TableFormat
 
 #: The position before the first row; "never committed" is None.
@@ -14,17 +15,18 @@ START = -1
 
 
 class JsonCheckpointStore:
-    """Positions in one JSON file. A crash between a write of rows and of its position repeats the rows."""
+    """Positions in one JSON file. A crash between a write of rows and of its position repeats the rows.
+
+    The path may be a URI of any file system of ``spark``.
+    """
 
-    def __init__(self, path: str):
-        self.path, self._lock = path, threading.Lock()
+    def __init__(self, path: str, spark: SparkSession | None = None):
+        self.store, self.path = store_for(spark, path)
+        self._lock = threading.Lock()
 
     def _load(self) -> dict[str, int]:
-        try:
-            with open(self.path) as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {}
+        data = self.store.read(self.path)
+        return {} if data is None else json.loads(data)
 
     def get(self, name: str) -> int | None:
         return self._load().get(name)
@@ -35,12 +37,7 @@ class JsonCheckpointStore:
     def set_all(self, offsets: dict[str, int | None]) -> None:
         with self._lock:
             data = self._load() | {k: START if v is None else v for k, v in offsets.items()}
-            folder = os.path.dirname(os.path.abspath(self.path))
-            os.makedirs(folder, exist_ok=True)
-            handle, temp = tempfile.mkstemp(dir=folder)
-            with os.fdopen(handle, "w") as f:
-                json.dump(data, f)
-            os.replace(temp, self.path)
+            self.store.replace(self.path, json.dumps(data).encode())
 
 
 class SinkCheckpointStore:

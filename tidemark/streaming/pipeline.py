@@ -227,16 +227,16 @@ def connect(spark: SparkSession, warehouse: str, uri: str | None = None, checkpo
         resolve = lambda i: IcebergFormat(spark, f"{name}.{i if '.' in i else 'default.' + i}")
     else:
         raise ValueError(f"format must be log, delta or iceberg, not {format!r}")
-    return Session(spark, resolve, _store(checkpoint, warehouse))
+    return Session(spark, resolve, _store(spark, checkpoint, warehouse))
 
 
-def _store(checkpoint: str, warehouse: str):
+def _store(spark: SparkSession, checkpoint: str, warehouse: str):
     if checkpoint == "sink":
         return None
     kind, _, path = checkpoint.partition(":")
     if kind != "json":
         raise ValueError(f"checkpoint must be sink or json, not {checkpoint!r}")
-    return JsonCheckpointStore(path or f"{warehouse.removeprefix('file://').rstrip('/')}/checkpoints.json")
+    return JsonCheckpointStore(path or f"{warehouse.rstrip('/')}/checkpoints.json", spark)
 
 
 def session(spark: SparkSession, resolve: Callable[[str], TableFormat] | str, checkpoint: str | JsonCheckpointStore = "checkpoints.json", checkpoint_mode: str = "json") -> Session:
@@ -246,5 +246,5 @@ def session(spark: SparkSession, resolve: Callable[[str], TableFormat] | str, ch
         resolve = lambda i: LogTable(spark, table_path(base, i))
     if checkpoint_mode not in ("json", "sink"):
         raise ValueError(f"checkpoint_mode must be json or sink, not {checkpoint_mode!r}")
-    store = None if checkpoint_mode == "sink" else JsonCheckpointStore(checkpoint) if isinstance(checkpoint, str) else checkpoint
+    store = None if checkpoint_mode == "sink" else JsonCheckpointStore(checkpoint, spark) if isinstance(checkpoint, str) else checkpoint
     return Session(spark, resolve, store)
