@@ -32,14 +32,20 @@ class Total:
         return v
 
 
-def merge_totals(running: DataFrame | None, batch: DataFrame, keys: list[str], totals: dict[str, Total]) -> DataFrame:
+def _small(table, *span) -> bool:
+    return hasattr(table, "small") and table.small(*span)
+
+
+def merge_totals(running: DataFrame | None, batch: DataFrame, keys: list[str], totals: dict[str, Total], few: bool = False) -> DataFrame:
     """Running totals brought up to date by a batch's rows, in one aggregation.
 
-    Rows are combined before the one shuffle there is. min and max hold for sources that only grow.
+    Rows are combined before the one shuffle there is; with ``few`` one task has them all and there is
+    none. min and max hold for sources that only grow.
     """
     both = batch.select(*keys, *(t.of_row().alias(name) for name, t in totals.items()))
     if running is not None:
         both = running.select(*both.columns).unionByName(both)
+    both = both.coalesce(1) if few else both
     return both.groupBy(*keys).agg(*(MERGE[t.kind](name).alias(name) for name, t in totals.items()))
 
 
@@ -63,11 +69,13 @@ class IncrementalAggregate:
         stored = self.sink.read_offsets().get(self.name)
         if stored is not None and stored >= 0:
             self.consumer.seek(stored)
+        before = self.consumer.position()
         batch = self.consumer.poll()
         if batch is None:
             return None
         running = self.sink.read() if self.sink.exists() else None
-        merged = merge_totals(running, self.prepare(batch.data), self.keys, self.totals)
+        few = _small(self.consumer.source, before, batch.offset) and (running is None or _small(self.sink))
+        merged = merge_totals(running, self.prepare(batch.data), self.keys, self.totals, few)
         if not self.sink.exists():
             self.sink.create(merged.schema)
         self.sink.overwrite(merged, self.consumer.stored(batch.offset), {self.name: stored})

@@ -45,6 +45,8 @@ TRIES = 8
 FOOTERS = 1000
 LITERAL_FILES = 8
 BROADCAST_FILES = 50_000
+#: Bytes, before compression, that one task may have to itself.
+ONE_TASK = 16 << 20
 #: Commits that change rows that a reader may have passed.
 CHANGING = ("upsert", "overwrite", "delete", "update")
 ANY = object()
@@ -239,7 +241,8 @@ class LogTable:
                 meta = pq.read_metadata(f"{local}/{name}")
                 low, high = _bounds(meta, self.offset_column) if with_offsets and meta.num_rows else (None, None)
                 ranges = {k: found for k in keys if (found := _bounds(meta, k)) is not None}
-                entries.append({"path": f"{folder}/{name}", "rows": meta.num_rows, "min": low, "max": high, "physical": physical, **({"keys": ranges} if ranges else {})})
+                size = sum(meta.row_group(g).total_byte_size for g in range(meta.num_row_groups))
+                entries.append({"path": f"{folder}/{name}", "rows": meta.num_rows, "bytes": size, "min": low, "max": high, "physical": physical, **({"keys": ranges} if ranges else {})})
         else:
             found = self.spark.read.parquet(f"{self.path}/{folder}").groupBy(F.col("_metadata.file_name").alias("name"))
             off = F.col(self.offset_column) if with_offsets else F.lit(None).cast("long")
@@ -441,6 +444,13 @@ class LogTable:
                 n += min(f["max"], f["max"] if hi is None else hi) - max(f["min"] - 1, -1 if lo is None else lo)
         return n
 
+    def small(self, lo: int | None = None, hi: int | None = None) -> bool:
+        """Whether the files of a range are known to have no more than one task may have to itself."""
+        files = self.state().files
+        inside, partly = self._range(lo, hi) if self.has_offsets() else (list(files), [])
+        sizes = [files[p].get("bytes") for p in [*inside, *partly]]
+        return None not in sizes and sum(sizes) <= ONE_TASK
+
     def earliest_offset(self) -> int | None:
         self._need_offsets()
         return min((f["min"] for f in self.state().files.values()), default=None)

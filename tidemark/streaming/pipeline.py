@@ -41,8 +41,8 @@ class TableHandle:
         return self
 
     def read(self) -> DataFrame:
-        rows = self.format.read_all()
-        return rows.drop(OFFSET)
+        table = self.format
+        return table.read() if hasattr(table, "read") else table.read_all().drop(OFFSET)
 
 
 class Pipeline:
@@ -84,7 +84,8 @@ class Pipeline:
         if batch is None:
             return 0
         n = self.source.count_since(before, batch.offset) if hasattr(self.source, "count_since") else batch.num_rows
-        rows = self._rows(batch.data)
+        few = hasattr(self.source, "small") and self.source.small(before, batch.offset)
+        rows = self._rows(batch.data.coalesce(1) if few else batch.data)  # a small batch is one task and one file
         stored = self.sink.read_offsets().get(self.name) if self.in_sink else None
         own = stored is None or stored == before or (before is None and stored < 0)
         offsets = self.consumer.stored(batch.offset) if self.in_sink else None
