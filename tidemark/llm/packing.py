@@ -9,7 +9,8 @@ planned slots by their rank within their length.
 Scale. The driver gets at most ``capacity`` counts and makes runs, whose number
 depends on ``capacity`` alone; that bounds what is sent to the executors. Ranks
 are counted in hashed buckets of bounded size whose offsets are prefix sums,
-so that a length that a third of all pieces have is not ordered in one task.
+so that a length that a third of all pieces have is not ordered in one task. The prefix sums of one length are one task's: a
+row for each 50,000 pieces, which is a million rows at 5 * 10 ** 10 pieces.
 
 Cases. A null text is empty, and an empty document is its end token alone. Equal
 rows are packed each; rows that share an id are told apart by their text.
