@@ -167,3 +167,14 @@ def test_induction_finds_articles_without_their_names(spark, sf, monkeypatch):
 def test_names_tell_what_varies_but_is_no_article():
     site = lambda k: f"<body><div class=post><p>{k} {LONG} {k}</p><p>{k} again {LONG}</p><div class=comments><p>reader {k}: I think {LONG}</p></div></div><div>foot of all pages</div></body>"
     assert induced([site(k) for k in range(20)]) == [f"{k} {LONG} {k}\n{k} again {LONG}" for k in range(20)]
+
+
+def test_very_long_pages():
+    rows = "".join(f"<tr><td>{i}<td>b{i}" for i in range(20_000))
+    paragraphs = "".join(f"<p>{i} of many" for i in range(20_000))
+    page = f"<body><article><table>{rows}</table>{paragraphs}</article><p>foot"
+    want = [x for i in range(20_000) for x in (str(i), f"b{i}")] + [f"{i} of many" for i in range(20_000)]
+    assert hx.extract(page) == "\n".join(want)
+    table = parse(f"<table>{rows}</table>").parts[0]
+    assert {x.tag for x in table.parts} == {"tr"} and len(table.parts) == 20_000
+    assert induced([page.replace("<article>", f"<article><h1>t{k}</h1>") for k in range(9)])[3] == "t3\n" + "\n".join(want)

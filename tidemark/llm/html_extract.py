@@ -110,7 +110,9 @@ def _aligned(left: list[Skel], right: list[Skel]) -> list[tuple[Skel | None, Ske
 
 
 def merge(a: Skel, b: Skel, fold: bool = False) -> Skel:
-    """Two aligned trees as one; ``fold``: they are neighbours on one page."""
+    """Two aligned trees as one; ``fold``: they are neighbours on one page, and ``a`` is used up."""
+    if fold:
+        a.nodes += b.nodes
     children = []
     for x, y in _aligned(a.children, b.children):
         children.append(merge(x, y, fold) if x and y else x or y)
@@ -119,7 +121,7 @@ def merge(a: Skel, b: Skel, fold: bool = False) -> Skel:
     return Skel(
         a.label, a.junk and b.junk, max(a.pages, b.pages) if fold else a.pages + b.pages, a.chars + b.chars, a.links + b.links,
         (xxhash.xxh3_64_intdigest(f"{a.value} {b.value}") >> 1) if fold else a.value if a.value == b.value else None,
-        fold or a.many or b.many, children, a.nodes + b.nodes if fold else None,
+        fold or a.many or b.many, children, a.nodes if fold else None,
     )
 
 

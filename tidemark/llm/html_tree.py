@@ -146,8 +146,7 @@ def parse(html: str) -> Node:
         for k in range(len(tags) - 1, 0, -1) if tag in _ENDERS else ():
             if tag in ENDS.get(tags[k], ()):
                 close(k)
-                break
-            if tags[k] in SCOPE:
+            elif tags[k] in SCOPE:
                 break
         block = tag in BLOCK
         if tag == "br" or (tag in VOID and not block):
